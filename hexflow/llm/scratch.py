@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hexflow.session import ship_package
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; where it is unset (tests), a folder of our own is set."""
@@ -33,12 +35,24 @@ class Scratch:
         self.base = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
     def save(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+        """Writes and rereads ``df``; its shuffle files go once it is written, since nothing reads them again."""
         path = f"{self.base}/{name}"
+        kept = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            self._write(df, path, partition_by)
+        finally:
+            if kept is None:
+                self.spark.conf.unset(_CLEANUP)
+            else:
+                self.spark.conf.set(_CLEANUP, kept)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _write(self, df: DataFrame, path: str, partition_by: list[str] | None) -> None:
         writer = df.write.mode("overwrite").option("compression", "zstd")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexflow.llm import minhash, substring, token_store, toxicity
+from hexflow.llm import decontam, minhash, substring, token_store, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return decontam.leaks(docs, items)
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -39,6 +44,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_decontamination": op4_decontamination,
     "op7_token_store": op7_token_store,
     "op8_toxicity": op8_toxicity,
 }

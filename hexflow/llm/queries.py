@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexflow.llm import decontam, minhash, substring, token_store, toxicity
+from hexflow.llm import decontam, minhash, mixing, substring, token_store, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(docs, items)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -45,8 +49,9 @@ QUERIES: dict[str, Query] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_decontamination": op4_decontamination,
+    "op5_mixing": op5_mixing,
     "op7_token_store": op7_token_store,
     "op8_toxicity": op8_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_mixing": mixing.ORACLE}

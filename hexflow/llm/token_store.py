@@ -105,6 +105,7 @@ def cuts(ids: np.ndarray, c: Chunking) -> list[int]:
 def _encoded(path: str, end_id: int, wide: bool, c: Chunking):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        occ = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 ids, offsets = encode(path, part.column("text"), end_id)
@@ -121,11 +122,12 @@ def _encoded(path: str, end_id: int, wide: bool, c: Chunking):
                             if len(seen) >= 1_000_000:  # a chunk sent twice is stored once all the same
                                 seen.clear()
                             seen.add(digest)
-                        rows.append((doc, seq, digest, a + end - start, raw if fresh else None))
+                        rows.append((doc, occ, seq, digest, a + end - start, raw if fresh else None))
                         start = a + end
-                cols = list(zip(*rows, strict=True)) or [[]] * 5
-                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(cols, kinds, strict=True)], ["doc_id", "seq", "digest", "n", "ids"])
+                    occ += 1
+                cols = list(zip(*rows, strict=True)) or [[]] * 6
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(cols, kinds, strict=True)], ["doc_id", "occ", "seq", "digest", "n", "ids"])
 
     return run
 
@@ -141,7 +143,7 @@ def _first_of_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a document of a partition sorted by (doc_id, seq)."""
+    """One row a document of a partition sorted by (doc_id, occ, seq)."""
     part = TaskContext.get().partitionId()
     names = ["part", "idx", "doc_id", "n_tokens", "local_start", "digests", "counts", "root"]
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary()]
@@ -182,10 +184,10 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = 1, chunking:
     spark = docs.sparkSession
     scratch = Scratch(spark, "tokens")
     wide = max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1) > 1 << 16
-    staged = scratch.save(docs.select("doc_id", "text").mapInArrow(_encoded(tokenizer_path, end_id, wide, chunking), "doc_id long, seq int, digest binary, n long, ids binary"), "staged")
+    staged = scratch.save(docs.select("doc_id", "text").mapInArrow(_encoded(tokenizer_path, end_id, wide, chunking), "doc_id long, occ long, seq int, digest binary, n long, ids binary"), "staged")
     once = staged.filter("ids is not null").select("digest", "n", "ids").repartition("digest").sortWithinPartitions("digest")
     scratch.save(once.mapInArrow(_first_of_run, "digest binary, n long, ids binary"), "chunks")
-    ordered = staged.select("doc_id", "seq", "digest", "n").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "seq")
+    ordered = staged.select("doc_id", "occ", "seq", "digest", "n").repartitionByRange("doc_id", "occ").sortWithinPartitions("doc_id", "occ", "seq")
     recipes = scratch.save(
         ordered.mapInArrow(_recipes, "part int, idx long, doc_id long, n_tokens long, local_start long, digests array<binary>, counts array<long>, root binary"), "recipes"
     )
@@ -291,13 +293,14 @@ def documents_ids(spark: SparkSession, store: str) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype(np.int32) for n, raw in zip(batch.column("n").to_pylist(), batch.column("ids").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("seq"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "seq", "ids"])
+            names = ["part", "idx", "doc_id", "seq"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"])
 
-    recipes = spark.read.parquet(f"{store}/recipes").select("doc_id", F.posexplode("digests").alias("seq", "digest"))
-    pieces = recipes.join(spark.read.parquet(f"{store}/chunks"), "digest").select("doc_id", "seq", "n", "ids")
-    pieces = pieces.mapInArrow(decode, "doc_id long, seq int, ids array<int>")
+    recipes = spark.read.parquet(f"{store}/recipes").select("part", "idx", "doc_id", F.posexplode("digests").alias("seq", "digest"))
+    pieces = recipes.join(spark.read.parquet(f"{store}/chunks"), "digest").select("part", "idx", "doc_id", "seq", "n", "ids")
+    pieces = pieces.mapInArrow(decode, "part int, idx long, doc_id long, seq int, ids array<int>")
     in_order = F.transform(F.sort_array(F.collect_list(F.struct("seq", "ids"))), lambda x: x["ids"])
-    return pieces.groupBy("doc_id").agg(F.flatten(in_order).alias("ids"))
+    return pieces.groupBy("part", "idx", "doc_id").agg(F.flatten(in_order).alias("ids")).select("doc_id", "ids")
 
 
 def token_store(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
@@ -305,6 +308,6 @@ def token_store(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFr
 
     ``start`` counts the ids of all documents with a smaller doc_id.  Null and empty texts hold the
     end id alone; an empty table gives an empty store and result; extra columns are ignored.
-    doc_id must be unique and not null.
+    Rows that share a doc_id (or have none) are documents of their own, in any order among themselves.
     """
     return read_back(docs.sparkSession, write_store(docs, tokenizer_path, end_id))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexflow.llm import decontam, minhash, mixing, substring, token_store, toxicity
+from hexflow.llm import decontam, html_extract, license_scan, minhash, mixing, substring, token_store, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("blocks")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -45,13 +49,19 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs.select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_mixing": op5_mixing,
+    "op6_html_extraction": op6_html_extraction,
     "op7_token_store": op7_token_store,
     "op8_toxicity": op8_toxicity,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLES: dict[str, str] = {"op5_mixing": mixing.ORACLE}

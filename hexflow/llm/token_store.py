@@ -28,6 +28,7 @@ from pyspark.sql import Window as W
 
 from hexflow.llm.scratch import Scratch
 from hexflow.llm.text import mix, ngram_hashes, slices, split_words
+from hexflow.session import ship_package
 
 _CACHE_WORDS = 500_000
 _tokenizers: dict[str, tuple] = {}
@@ -272,6 +273,7 @@ def _shifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_back(spark: SparkSession, store: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files; a damaged or missing chunk is an error."""
+    ship_package(spark)
     recipes = spark.read.parquet(f"{store}/recipes")
     parts = recipes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     begin = parts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("part_start"))
@@ -296,6 +298,7 @@ def documents_ids(spark: SparkSession, store: str) -> DataFrame:
             names = ["part", "idx", "doc_id", "seq"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"])
 
+    ship_package(spark)
     recipes = spark.read.parquet(f"{store}/recipes").select("part", "idx", "doc_id", F.posexplode("digests").alias("seq", "digest"))
     pieces = recipes.join(spark.read.parquet(f"{store}/chunks"), "digest").select("part", "idx", "doc_id", "seq", "n", "ids")
     pieces = pieces.mapInArrow(decode, "part int, idx long, doc_id long, seq int, ids array<int>")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexflow.llm import decontam, html_extract, license_scan, minhash, mixing, substring, token_store, toxicity
+from hexflow.llm import decontam, html_extract, license_scan, minhash, mixing, substring, token_store, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,6 +49,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs.select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.build(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Query] = {
     "op6_html_extraction": op6_html_extraction,
     "op7_token_store": op7_token_store,
     "op8_toxicity": op8_toxicity,
+    "op9_warc_derivatives": op9_warc_derivatives,
     "op10_license_scan": op10_license_scan,
 }
 

@@ -144,55 +144,63 @@ def _confirmed(p: MinHash):
     return run
 
 
-def _block_pairs(p: MinHash):
-    """Pairs of different components inside each run of equal keys of a sorted partition."""
+def _block_links(p: MinHash):
+    """Confirmed links between different components inside each run of equal keys of a sorted partition.
 
-    def compare(rows: list[tuple]) -> tuple[list[int], list[int]]:
+    A link whose ends the run has joined already says nothing new about components and is left out.
+    """
+
+    def compare(rows: list[tuple], out_a: list[int], out_b: list[int]) -> None:
+        (_, i_, j_), band = rows[0][0], rows[0][5]
         docs = np.array([r[1] for r in rows])
         comp = np.array([r[2] for r in rows])
         side = np.array([r[3] for r in rows])
-        band = rows[0][5]
         s = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(-1, p.t)
-        i_, j_ = rows[0][0][1], rows[0][0][2]
+        sets: dict[int, np.ndarray] = {}
+
+        def shingles(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingle_sets(pa.array([rows[k][6]], pa.string()), p.shingle)[0]
+            return sets[k]
+
         left, right = np.flatnonzero(side == i_), np.flatnonzero(side == j_)
-        out_a, out_b = [], []
         for i in left:
             js = right if i_ != j_ else right[right > i]
             js = js[comp[js] != comp[i]]
             if not len(js):
                 continue
             same = s[js] == s[i]
-            js, same = js[(good := same.mean(axis=1) >= p.estimate)], same[good]
-            if len(js):
-                first = same.reshape(len(js), p.bands, p.rows).all(axis=2).argmax(axis=1)
-                for j in js[first == band]:
+            good = same.mean(axis=1) >= p.estimate
+            js, same = js[good], same[good]
+            if not len(js):
+                continue
+            first = same.reshape(len(js), p.bands, p.rows).all(axis=2).argmax(axis=1)
+            for j in js[first == band]:
+                if comp[i] == comp[j]:
+                    continue
+                x, y = shingles(i), shingles(j)
+                if 100 * min(len(x), len(y)) < p.percent * max(len(x), len(y)):
+                    continue
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= p.percent * (len(x) + len(y) - both):
                     out_a.append(int(min(docs[i], docs[j])))
                     out_b.append(int(max(docs[i], docs[j])))
-        return out_a, out_b
+                    comp[comp == comp[j]] = comp[i]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         out_a: list[int] = []
         out_b: list[int] = []
-
-        def close() -> None:
-            if len(held) > 1:
-                a, b = compare(held)
-                out_a.extend(a)
-                out_b.extend(b)
-            held.clear()
-
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("bucket", "i", "j", "doc_id", "component", "blk", "sketch", "band")]
-            for bucket, i, j, doc, comp, blk, sk, band in zip(*cols, strict=True):
+            cols = [batch.column(c).to_pylist() for c in ("bucket", "i", "j", "doc_id", "component", "blk", "sketch", "band", "text")]
+            for bucket, i, j, doc, comp, blk, sk, band, text in zip(*cols, strict=True):
                 key = (bucket, i, j)
                 if held and held[0][0] != key:
-                    close()
-                held.append((key, doc, comp, blk, sk, band))
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
-                out_a, out_b = [], []
-        close()
+                    compare(held, out_a, out_b)
+                    held.clear()
+                held.append((key, doc, comp, blk, sk, band, text))
+        if held:
+            compare(held, out_a, out_b)
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
     return run
@@ -238,12 +246,12 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     rest = rest.join(of.select(F.col("node").alias("head"), F.col("component").alias("head_component")), "head", "left")
     rest = scratch.save(rest.withColumn("apart", F.col("component") != F.coalesce("head_component", "head")).drop("head_component"), "rest")
     split = rest.filter("members > 2").groupBy("bucket").agg(F.max("apart").alias("any_apart")).filter("any_apart").select("bucket")
-    block = rest.join(split, "bucket", "left_semi").filter("doc_id <> head").join(side.select("doc_id", "sketch"), "doc_id")
+    block = rest.join(split, "bucket", "left_semi").filter("doc_id <> head").join(side.select("doc_id", "sketch"), "doc_id").join(texts, "doc_id")
     block = block.withColumn("nb", F.ceil(F.col("members") / p.block)).withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("nb")))
     block = block.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    block = block.select("bucket", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "doc_id", "component", "blk", "sketch", "band")
-    more = block.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_block_pairs(p), "a long, b long").distinct()
-    all_links = scratch.save(links.union(_confirm(more, texts, p)), "links")
+    block = block.select("bucket", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "doc_id", "component", "blk", "sketch", "band", "text")
+    more = block.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_block_links(p), "a long, b long")
+    all_links = scratch.save(links.union(more), "links")
     scratch.drop("members", "rest", "links-star")
     of = components(scratch, all_links, "all")
 

@@ -66,8 +66,6 @@ def hex_centroid(cell: Column) -> tuple[Column, Column]:
     parts = F.split(cell, ":")
     q, r = parts[1].cast("double"), parts[2].cast("double")
     level = F.substring(parts[0], 2, 2).cast("int")
-    s = F.lit(None).cast("double")
-    for resolution in range(0, 16):
-        s = F.when(level == resolution, F.lit(edge_km(resolution))).otherwise(s)
+    s = F.element_at(F.array(*[F.lit(edge_km(k)) for k in range(16)]), level + 1)
     x, y = s * F.lit(math.sqrt(3)) * (q + r / 2.0), F.lit(1.5) * s * r
     return F.lit(CENTRE[0]) + y / KM_PER_DEGREE, F.lit(CENTRE[1]) + x / KM_PER_DEGREE_LON

@@ -162,7 +162,13 @@ def spans(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     merged = votes.groupBy("doc_id", "template", "template_words", "group").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
     likely = merged.filter(F.col("votes") * 2 >= (F.col("template_words") - (s.k - 1)) * F.lit(s.share) * F.lit(0.5))
     likely = scratch.save(likely.select("doc_id", "template", "first", "last"), "likely")
-    return likely.join(texts, "doc_id").select("doc_id", "template", "first", "last", "text").mapInArrow(_verified(s), "doc_id long, label string, share double, first_word long, end_word long")
+    found = likely.join(texts, "doc_id").select("doc_id", "template", "first", "last", "text").mapInArrow(_verified(s), "doc_id long, label string, share double, first_word long, end_word long")
+    # Templates of one family share most words: of spans that overlap, the one that holds most of its template stays.
+    in_order = W.partitionBy("doc_id").orderBy("first_word", "end_word", "label")
+    ended = F.max("end_word").over(in_order.rowsBetween(W.unboundedPreceding, -1))
+    found = found.withColumn("apart", (F.col("first_word") >= F.coalesce(ended, F.lit(0))).cast("int")).withColumn("place", F.sum("apart").over(in_order))
+    best = W.partitionBy("doc_id", "place").orderBy(F.col("share").desc(), (F.col("end_word") - F.col("first_word")).desc(), "label", "first_word")
+    return found.withColumn("rank", F.row_number().over(best)).filter("rank = 1").select("doc_id", "label", "share", "first_word", "end_word")
 
 
 def scan(docs: DataFrame, s: Settings = Settings()) -> DataFrame:

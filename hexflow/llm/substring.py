@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,11 +46,13 @@ def _unpack(payload: bytes, *dtypes: str) -> list[np.ndarray]:
 
 def _to_chunks(chunk_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in slices(batch, "text", chunk_bytes):
                 one = pa.array([0, part.num_rows], pa.int32())
+                chunk += 1
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").slice(0, 1), pa.ListArray.from_arrays(one, pa.concat_arrays([part.column("doc_id")])), pa.ListArray.from_arrays(one, pa.concat_arrays([part.column("text")]))],
+                    [pa.array([chunk], pa.int64()), pa.ListArray.from_arrays(one, pa.concat_arrays([part.column("doc_id")])), pa.ListArray.from_arrays(one, pa.concat_arrays([part.column("text")]))],
                     ["chunk", "doc_ids", "texts"],
                 )
 
@@ -235,11 +238,11 @@ def _remove(window: int, anchor: int, bits: int):
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, chunk_bytes: int = 2 << 20) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_text, removed_spans) for every row of ``docs`` (doc_id unique and not null).
+    """(doc_id, n_words, n_removed, kept_text, removed_spans) for every row of ``docs`` (doc_id not null).
 
     Words are cut at ASCII white space and not changed.  A word goes if a window of ``window``
     words over it also starts in a document with a smaller doc_id; windows are judged on the input.
-    Repeats inside one document alone stay.  A null or empty text has no words and gives an empty
+    Repeats inside one document alone stay, and so do those among rows that share a doc_id.  A null or empty text has no words and gives an empty
     kept text; texts shorter than a window are kept.  Extra columns are ignored; an empty table
     gives an empty result.  Stretches are compared by 64-bit hashes of their word hashes.
     """

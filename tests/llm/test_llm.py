@@ -158,6 +158,13 @@ def test_substring_matches_brute_force(spark, chunk):
     assert substring.remove_repeats(none(spark)).count() == 0
 
 
+def test_substring_keeps_repeated_rows(spark):
+    text = " ".join(words(20, 7))
+    df = spark.createDataFrame([(1, text), (1, text), (2, text)], "doc_id long, text string")
+    for chunk in (1, 1 << 20):
+        assert sorted((r.doc_id, r.n_removed) for r in substring.remove_repeats(df, chunk_bytes=chunk).collect()) == [(1, 0), (1, 0), (2, 20)]
+
+
 def test_leaks(spark):
     items = [(1, "What is the colour of the sky above the northern harbour town? It is a deep and steady blue."), (2, " ".join(words(90, 55))), (3, None), (4, ""), (5, "too short"), (6, " ".join(words(300, 56)))]
     texts = [None, "", " ".join(words(50, 60)) + " " + items[0][1].upper() + " " + " ".join(words(200, 61)), " ".join(words(300, 62)), items[1][1], " ".join(items[1][1].split()[:30]), " ".join(words(100, 63)) + " " + items[5][1]]

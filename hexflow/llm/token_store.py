@@ -15,6 +15,8 @@ ids need to move to their documents.
 from __future__ import annotations
 
 import hashlib
+import json
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,16 +29,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from hexflow.llm.scratch import Scratch
-from hexflow.llm.text import mix, ngram_hashes, slices, split_words
+from hexflow.llm.text import mix, slices, split_words
 from hexflow.session import ship_package
 
-_CACHE_WORDS = 500_000
-_tokenizers: dict[str, tuple] = {}
+#: Pieces of words, and words that aren't made of such pieces, whose ids a Python worker keeps.
+_CACHE_PIECES, _CACHE_WORDS = 700_000, 100_000
+_tokenizers: dict[str, "Encoder"] = {}
 
 
 @dataclass(frozen=True)
 class Chunking:
-    """A cut follows each window of ``window`` ids whose hash has ``bits`` zero bits, within the two bounds."""
+    """A cut follows each window of ``window`` ids (a power of two) whose hash has ``bits`` zero bits, within the two bounds."""
 
     window: int = 16
     bits: int = 9
@@ -44,54 +47,110 @@ class Chunking:
     most: int = 4096
 
 
-def _loaded(path: str) -> tuple:
-    """(tokenizer, ids by word) of this Python worker; the ids are kept as little-endian uint32 bytes."""
-    if path not in _tokenizers:
-        from tokenizers import Tokenizer
+class Encoder:
+    """A tokenizer with the ids of the words met, as little-endian uint32 bytes.
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    return _tokenizers[path]
+    Where the tokenizer cuts at white space and drops it, a text's ids are its words' ids in order,
+    so each distinct word is encoded once.  Where it also lower-cases and cuts letters from other
+    characters, a word of letters below U+0100 (already in normal form C) with perhaps one mark
+    behind it has the ids of its lower-cased letters and of the mark; these go to the model directly.
+    """
 
+    _MARKS = frozenset(".,;:!?")
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-def word_ids(path: str, words: list[str]) -> list[bytes]:
-    """The ids of each word.  A text's ids are its words' ids in order: white space has no ids here."""
-    tokenizer, known = _loaded(path)
-    missing = [w for w in words if w not in known]
-    if missing:
-        if len(known) + len(missing) > _CACHE_WORDS:
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        shape = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (shape["normalizer"] or {}).get("normalizers", [])]
+        cut = (shape["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        # Fixed value: the pattern by which this family of tokenizers cuts words.
+        pattern = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+        self.by_word = steps == ["NFC", "Replace", "Lowercase"] and cut[0].get("pattern", {}).get("Regex") == pattern and cut[0].get("invert") and cut[0].get("behavior") == "Removed"
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        other = [b for b in range(256) if b not in plain]
+        letters = {**{b: chr(b) for b in plain}, **{b: chr(256 + k) for k, b in enumerate(other)}}
+        self.alphabet = [letters[b] for b in range(256)]  # the byte-level alphabet
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            shown = piece if piece.isascii() else "".join(map(self.alphabet.__getitem__, piece.encode()))
+            tokens = self.tokenizer.model.tokenize(shown)
+            found = struct.pack(f"<{len(tokens)}I", *[x.id for x in tokens])
+            if len(self.pieces) >= _CACHE_PIECES:
+                self.pieces.clear()
+            self.pieces[piece] = found
+        return found
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each word (distinct ones)."""
+        known, pieces, out, rare = self.words, self.pieces, [], []
+        marks = {m: self._piece(m) for m in self._MARKS}
+        for at, w in enumerate(words):
+            mark = marks.get(w[-1])
+            body = w if mark is None else w[:-1]
+            if body.isalpha() and (body.isascii() or max(body) < "\u0100"):
+                body = body.lower()
+                found = pieces.get(body)
+                if found is None:
+                    found = self._piece(body)
+                if mark is not None:
+                    found += mark
+            else:
+                found = known.get(w)
+                if found is None:
+                    rare.append(at)
+            out.append(found)
+        if len(known) + len(rare) > _CACHE_WORDS:
             known.clear()
-            missing = words
-        for at in range(0, len(missing), 20_000):
-            some = missing[at : at + 20_000]
-            encoded = tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(encoded.ids, dtype="<u4")
-            owner = np.array(encoded.word_ids, dtype=np.int64)
-            ends = np.searchsorted(owner, np.arange(len(some)), side="right") * 4
-            raw, start = ids.tobytes(), 0
-            for w, end in zip(some, ends.tolist(), strict=True):
-                known[w] = raw[start:end]
+        for a in range(0, len(rare), 20_000):
+            some = rare[a : a + 20_000]
+            encoded = self.tokenizer.encode([words[k] for k in some], is_pretokenized=True, add_special_tokens=False)
+            raw = np.array(encoded.ids, dtype="<u4").tobytes()
+            ends = np.searchsorted(np.array(encoded.word_ids, dtype=np.int64), np.arange(len(some)), side="right") * 4
+            start = 0
+            for k, end in zip(some, ends.tolist(), strict=True):
+                out[k] = known[words[k]] = raw[start:end]
                 start = end
-    return [known[w] for w in words]
+        return out
 
 
 def encode(path: str, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, flat, each closed by ``end_id``, and the texts' offsets into them."""
+    if path not in _tokenizers:
+        _tokenizers[path] = Encoder(path)
+    encoder = _tokenizers[path]
+    if not encoder.by_word:
+        encoded = encoder.tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)
+        offsets = np.concatenate(([0], np.cumsum([len(e.ids) + 1 for e in encoded]))).astype(np.int64)
+        return np.array([i for e in encoded for i in (*e.ids, end_id)], dtype=np.uint32), offsets
     words = split_words(texts)
-    table = word_ids(path, words.vocab.to_pylist())
-    sizes = np.array([len(b) // 4 for b in table] or [0], dtype=np.int64)
-    flat = np.frombuffer(b"".join(table), "<u4")
-    at = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-    lens = sizes[words.codes]
-    ends = np.concatenate(([0], np.cumsum(lens)))
-    ids = flat[np.repeat(at[words.codes] - ends[:-1], lens) + np.arange(ends[-1])]
-    bounds = ends[words.starts]
-    return np.insert(ids, bounds[1:], np.uint32(end_id)), bounds + np.arange(len(bounds))
+    table = encoder.ids(words.vocab.to_pylist())
+    table.append(struct.pack("<I", end_id))  # as a last word of every text
+    codes = np.insert(words.codes, words.starts[1:], len(table) - 1)
+    sizes = np.fromiter(map(len, table), dtype=np.int64, count=len(table)) // 4
+    at = np.cumsum(sizes) - sizes
+    lens = sizes[codes]
+    ends = np.cumsum(lens)
+    ids = np.frombuffer(b"".join(table), "<u4")[np.repeat(at[codes] - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)]
+    return ids, np.concatenate(([0], ends[words.starts[1:] + np.arange(len(words.counts))]))
+
+
+_STEPS = {1 << k: np.uint64(pow(0xD6E8FEB86659FD93, 1 << k, 1 << 64)) for k in range(16)}
 
 
 def cuts(ids: np.ndarray, c: Chunking) -> list[int]:
     """Ends of the chunks of one document's ids (the last is their number)."""
     n = len(ids)
-    marks = np.flatnonzero((ngram_hashes(mix(ids.astype(np.uint64) + np.uint64(1)), c.window) & np.uint64((1 << c.bits) - 1)) == 0) + c.window
+    g, span = mix(ids.astype(np.uint64) + np.uint64(1)), 1
+    while span < c.window and len(g) > span:  # hashes of 1, 2, 4 ... ids
+        g = g[:-span] * _STEPS[span] + g[span:]
+        span *= 2
+    marks = np.flatnonzero(mix(g) & np.uint64((1 << c.bits) - 1) == 0) + c.window if span >= c.window else np.empty(0, np.int64)
     out, last = [], 0
     for m in [*marks.tolist(), n]:
         while m - last > c.most:
@@ -108,7 +167,7 @@ def _encoded(path: str, end_id: int, wide: bool, c: Chunking):
         seen: set[bytes] = set()
         occ = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 4 << 20):
                 ids, offsets = encode(path, part.column("text"), end_id)
                 stored = ids.astype("<u4" if wide else "<u2")
                 docs = part.column("doc_id").to_pylist()

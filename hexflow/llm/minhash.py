@@ -148,6 +148,8 @@ def _block_links(p: MinHash):
     """Confirmed links between different components inside each run of equal keys of a sorted partition.
 
     A link whose ends the run has joined already says nothing new about components and is left out.
+    A pair is confirmed in the first bucket it shares; that is read off the keys of the buckets, as
+    the short sketch can agree in a band by chance.
     """
 
     def compare(rows: list[tuple], out_a: list[int], out_b: list[int]) -> None:
@@ -156,6 +158,7 @@ def _block_links(p: MinHash):
         comp = np.array([r[2] for r in rows])
         side = np.array([r[3] for r in rows])
         s = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(-1, p.t)
+        keys = np.array([r[7] for r in rows], dtype=np.int64)
         sets: dict[int, np.ndarray] = {}
 
         def shingles(k: int) -> np.ndarray:
@@ -169,12 +172,10 @@ def _block_links(p: MinHash):
             js = js[comp[js] != comp[i]]
             if not len(js):
                 continue
-            same = s[js] == s[i]
-            good = same.mean(axis=1) >= p.estimate
-            js, same = js[good], same[good]
+            js = js[(s[js] == s[i]).mean(axis=1) >= p.estimate]
             if not len(js):
                 continue
-            first = same.reshape(len(js), p.bands, p.rows).all(axis=2).argmax(axis=1)
+            first = (keys[js] == keys[i]).argmax(axis=1)
             for j in js[first == band]:
                 if comp[i] == comp[j]:
                     continue
@@ -192,13 +193,13 @@ def _block_links(p: MinHash):
         out_a: list[int] = []
         out_b: list[int] = []
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("bucket", "i", "j", "doc_id", "component", "blk", "sketch", "band", "text")]
-            for bucket, i, j, doc, comp, blk, sk, band, text in zip(*cols, strict=True):
+            cols = [batch.column(c).to_pylist() for c in ("bucket", "i", "j", "doc_id", "component", "blk", "sketch", "band", "text", "bands")]
+            for bucket, i, j, doc, comp, blk, sk, band, text, bands in zip(*cols, strict=True):
                 key = (bucket, i, j)
                 if held and held[0][0] != key:
                     compare(held, out_a, out_b)
                     held.clear()
-                held.append((key, doc, comp, blk, sk, band, text))
+                held.append((key, doc, comp, blk, sk, band, text, bands))
         if held:
             compare(held, out_a, out_b)
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
@@ -234,7 +235,7 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     buckets = pool.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.count("*").alias("members")).filter("members > 1")
     members = scratch.save(pool.join(buckets, "bucket"), "members")
 
-    side = reps.select("doc_id", "n_shingles", "sketch")
+    side = reps.select("doc_id", "n_shingles", "sketch", "bands")
     a, b = (side.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
     star = members.filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
     likely = star.join(a, "a").join(b, "b").filter(f"100 * least(n_a, n_b) >= {p.percent} * greatest(n_a, n_b)")
@@ -246,10 +247,10 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     rest = rest.join(of.select(F.col("node").alias("head"), F.col("component").alias("head_component")), "head", "left")
     rest = scratch.save(rest.withColumn("apart", F.col("component") != F.coalesce("head_component", "head")).drop("head_component"), "rest")
     split = rest.filter("members > 2").groupBy("bucket").agg(F.max("apart").alias("any_apart")).filter("any_apart").select("bucket")
-    block = rest.join(split, "bucket", "left_semi").filter("doc_id <> head").join(side.select("doc_id", "sketch"), "doc_id").join(texts, "doc_id")
+    block = rest.join(split, "bucket", "left_semi").filter("doc_id <> head").join(side.select("doc_id", "sketch", "bands"), "doc_id").join(texts, "doc_id")
     block = block.withColumn("nb", F.ceil(F.col("members") / p.block)).withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("nb")))
     block = block.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    block = block.select("bucket", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "doc_id", "component", "blk", "sketch", "band", "text")
+    block = block.select("bucket", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "doc_id", "component", "blk", "sketch", "band", "text", "bands")
     more = block.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_block_links(p), "a long, b long")
     all_links = scratch.save(links.union(more), "links")
     scratch.drop("members", "rest", "links-star")

@@ -103,6 +103,17 @@ def test_minhash_links_members_that_miss_the_head(spark):
     assert got == {i: v[1] for i, v in _brute_minhash([(r.doc_id, r.text) for r in df.collect()]).items()}
 
 
+def test_minhash_first_shared_bucket_is_told_by_the_keys():
+    """The sketches agree in band 0 by chance, the buckets only in band 1."""
+    p = minhash.MinHash(rows=1, bands=2)
+    text = " ".join(words(30, 4))
+    names = ["bucket", "i", "j", "doc_id", "component", "blk", "sketch", "band", "text", "bands"]
+    rows = [(77, 0, 0, doc, doc, 0, b"\x01\x02", 1, text, [key, 77]) for doc, key in ((1, 5), (2, 6))]
+    batch = pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])
+    out = pa.Table.from_batches(minhash._block_links(p)(iter([batch]))).to_pylist()
+    assert out == [{"a": 1, "b": 2}]
+
+
 def test_sketch_fills_and_estimates():
     flat = RNG.integers(1, 2**63, 900).astype(np.uint64)
     a, b = np.unique(flat[:800]), np.unique(flat[100:])

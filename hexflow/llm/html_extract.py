@@ -18,9 +18,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from hexflow.llm.scratch import Scratch
 from hexflow.llm.text import slices
@@ -105,14 +105,15 @@ def parse(page: str) -> Element:
 
 
 # A wrapper item: {"s" signature, "c" items, "t" constant text or None for a slot, "o" optional, "m" repeated,
-# "g" group, "n" element name, "x" furniture, "v" characters of text seen, "r" region of the article}.
+# "g" group, "n" element name, "x" furniture, "v" characters of text seen, "p" pages that have it (at least),
+# "r" region of the article}.
 
 
 def _item(node: Element | str) -> dict:
     if isinstance(node, str):
-        return {"s": "#", "c": [], "t": node, "o": False, "m": False, "g": False, "n": "#", "x": False, "v": len(node)}
+        return {"s": "#", "c": [], "t": node, "o": False, "m": False, "g": False, "n": "#", "x": False, "v": len(node), "p": 1}
     kids = fold([_item(k) for k in node.kids])
-    return {"s": node.sig, "c": kids, "t": None, "o": False, "m": False, "g": False, "n": node.name, "x": node.skip, "v": 0 if node.skip else sum(k["v"] for k in kids)}
+    return {"s": node.sig, "c": kids, "t": None, "o": False, "m": False, "g": False, "n": node.name, "x": node.skip, "v": 0 if node.skip else sum(k["v"] for k in kids), "p": 1}
 
 
 def fold(items: list[dict]) -> list[dict]:
@@ -124,27 +125,27 @@ def fold(items: list[dict]) -> list[dict]:
             while len(out) >= 2 * period and [x["s"] for x in out[-period:]] == [x["s"] for x in out[-2 * period : -period]]:
                 last, before = out[-period:], out[-2 * period : -period]
                 del out[-2 * period :]
-                both = [merge(a, b) for a, b in zip(before, last, strict=True)]
+                both = [merge(a, b, False) for a, b in zip(before, last, strict=True)]
                 if period == 1:
                     both[0]["m"] = True
                     out += both
                 else:
-                    out.append({"s": "(" + " ".join(x["s"] for x in both) + ")", "c": both, "t": None, "o": False, "m": True, "g": True, "n": "", "x": False, "v": sum(x["v"] for x in both)})
+                    out.append({"s": "(" + " ".join(x["s"] for x in both) + ")", "c": both, "t": None, "o": False, "m": True, "g": True, "n": "", "x": False, "v": sum(x["v"] for x in both), "p": max(x["p"] for x in both)})
             if period > 1 and len(out) > period and out[-period - 1]["g"] and [x["s"] for x in out[-period - 1]["c"]] == [x["s"] for x in out[-period:]]:
                 group = out[-period - 1]
-                group["c"] = [merge(a, b) for a, b in zip(group["c"], out[-period:], strict=True)]
+                group["c"] = [merge(a, b, False) for a, b in zip(group["c"], out[-period:], strict=True)]
                 group["v"] += sum(x["v"] for x in out[-period:])
                 del out[-period:]
         items = out
     return items
 
 
-def merge(a: dict, b: dict) -> dict:
-    """The wrapper item that describes both (signatures equal)."""
-    return a | {"c": align(a["c"], b["c"]), "t": a["t"] if a["t"] == b["t"] else None, "o": a["o"] or b["o"], "m": a["m"] or b["m"], "x": a["x"] and b["x"], "v": a["v"] + b["v"]}
+def merge(a: dict, b: dict, apart: bool = True) -> dict:
+    """The wrapper item that describes both (signatures equal); ``apart`` if they come from different pages."""
+    return a | {"c": align(a["c"], b["c"], apart), "p": a["p"] + b["p"] if apart else max(a["p"], b["p"]), "t": a["t"] if a["t"] == b["t"] else None, "o": a["o"] or b["o"], "m": a["m"] or b["m"], "x": a["x"] and b["x"], "v": a["v"] + b["v"]}
 
 
-def align(a: list[dict], b: list[dict]) -> list[dict]:
+def align(a: list[dict], b: list[dict], apart: bool = True) -> list[dict]:
     """Longest common subsequence by signature; what one side lacks is optional."""
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
@@ -153,7 +154,7 @@ def align(a: list[dict], b: list[dict]) -> list[dict]:
     out, i, j = [], 0, 0
     while i < len(a) and j < len(b):
         if a[i]["s"] == b[j]["s"]:
-            out.append(merge(a[i], b[j]))
+            out.append(merge(a[i], b[j], apart))
             i, j = i + 1, j + 1
         elif best[i + 1][j] >= best[i][j + 1]:
             out.append(a[i] | {"o": True})
@@ -191,13 +192,13 @@ def _walk(w: dict) -> Iterator[dict]:
             yield from _walk(c)
 
 
-def _slots(w: dict, pages: int) -> int:
-    """Characters of text that is not the same on all pages."""
+def _slots(w: dict) -> int:
+    """Characters of text that differs between pages or that a single page has."""
     if w["x"]:
         return 0
     if w["s"] == "#":
-        return w["v"] if w["t"] is None or pages < 2 else 0
-    return sum(_slots(c, pages) for c in w["c"])
+        return w["v"] if w["t"] is None or w["p"] < 2 else 0
+    return sum(_slots(c) for c in w["c"])
 
 
 def _mark(wrapper: dict, pages: int) -> None:
@@ -208,14 +209,14 @@ def _mark(wrapper: dict, pages: int) -> None:
                 for w in some:
                     w["r"] = True
                 return
-    whole, at = _slots(wrapper, pages), wrapper
+    whole, at = _slots(wrapper), wrapper
     while whole:
-        heavy = [c for c in at["c"] if not c["x"] and c["s"] != "#" and _slots(c, pages) >= 0.7 * whole]
+        heavy = [c for c in at["c"] if not c["x"] and c["s"] != "#" and _slots(c) >= 0.7 * whole]
         if not heavy or heavy[0]["m"]:
             break
         at = heavy[0]
     at["r"] = True
-    at["k"] = pages > 2  # constant text of this region is furniture
+    at["k"] = pages > 2  # text of this region that is the same on all pages that have it, three or more, is furniture
 
 
 def extract(page: str, wrapper: dict) -> list[str]:
@@ -246,7 +247,7 @@ def _extract(tree: Element, wrapper: dict) -> list[str]:
             if w is not None:
                 at, match = place(w["c"], at, "#" if text else kid.sig)
             if text:
-                if inside and (constants or match is None or match["t"] is None):
+                if inside and (constants or match is None or match["t"] != kid or match["p"] < 3):
                     out.append(kid)
             elif not kid.skip:
                 here = match is not None and match.get("r", False)
@@ -260,19 +261,50 @@ def host_of(url: str = "url"):
     return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def wrappers(pages: DataFrame, per_host: int = 6) -> DataFrame:
-    """(host, wrapper): inferred from ``per_host`` pages of each host, chosen by a hash of page_id."""
-    order = W.partitionBy("host").orderBy(F.xxhash64("page_id"), "page_id")
-    some = pages.select("page_id", host_of().alias("host"), "html").filter("length(html) > 0").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_host)
+def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Wrappers of the pages of one task, by host; several of a host if the task meets very many hosts."""
+    task, seq = TaskContext.get().partitionId(), 0
+    held: dict[str, tuple[int, dict]] = {}
+
+    def out() -> pa.RecordBatch:
+        rows = [(host, task, seq, n, zlib.compress(pickle.dumps(w))) for host, (n, w) in held.items()]
+        held.clear()
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        cols = list(zip(*rows, strict=True)) or [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(cols, kinds, strict=True)], ["host", "task", "seq", "pages", "wrapper"])
+
+    for batch in batches:
+        for part in slices(batch, "html", 4 << 20):
+            for host, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
+                tree = _item(parse(page))
+                n, wrapper = held.get(host, (0, None))
+                held[host] = (n + 1, tree if wrapper is None else merge(wrapper, tree))
+            if len(held) > 4096:
+                yield out()
+                seq += 1
+    yield out()
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(host, wrapper): inferred from all pages of each host that have html.
+
+    Every task aligns its own pages; a host's wrappers are then merged in the order of the tasks.
+    """
 
     def one_host(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        wrapper = infer(rows.sort_values("k")["html"].tolist())
+        wrapper = None
+        for packed in rows.sort_values(["task", "seq"])["wrapper"]:
+            more = pickle.loads(zlib.decompress(packed))
+            wrapper = more if wrapper is None else merge(wrapper, more)
+        _mark(wrapper, int(rows["pages"].sum()))
         return pd.DataFrame({"host": [key[0]], "wrapper": [zlib.compress(pickle.dumps(wrapper))]})
 
-    return some.select("host", "k", "html").groupBy("host").applyInPandas(one_host, "host string, wrapper binary")
+    some = pages.select(host_of().alias("host"), "html").filter("length(html) > 0")
+    parts = some.mapInArrow(_partial, "host string, task long, seq long, pages long, wrapper binary")
+    return parts.groupBy("host").applyInPandas(one_host, "host string, wrapper binary")
 
 
-def main_text(pages: DataFrame, per_host: int = 6) -> DataFrame:
+def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars, blocks) for every row of ``pages`` (page_id, url, html).
 
     The whole html is read; null or empty gives an empty text.  Pages whose url is null or has no
@@ -281,7 +313,7 @@ def main_text(pages: DataFrame, per_host: int = 6) -> DataFrame:
     block becomes one space, and blocks are joined by one space.
     """
     scratch = Scratch(pages.sparkSession, "html")
-    by_host = scratch.save(wrappers(pages, per_host), "wrappers")
+    by_host = scratch.save(wrappers(pages), "wrappers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, dict] = {}

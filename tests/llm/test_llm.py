@@ -244,6 +244,15 @@ def test_html_extraction(spark):
     assert html_extract.main_text(none(spark, "page_id long, url string, html string")).count() == 0
 
 
+def test_html_text_that_differs_on_some_pages_stays(spark):
+    """A headline that few of a host's pages have of their own, and a line that one page alone has."""
+    page = "<div class='wrap'><div class='body'><h2>{h}</h2><p>Long text number {k} with many words in it that differ {k}</p><p>And more of it {k}{k}</p>{more}</div></div>"
+    heads = ["News"] * 37 + ["Flood", "News", "Fire"]
+    rows = [(k, f"http://c.org/{k}", page.format(h=h, k=f"n{k}x", more="<h3>Only here</h3>" if k == 5 else "")) for k, h in enumerate(heads)]
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k].startswith(h) for k, h in enumerate(heads)) and got[5].endswith("Only here")
+
+
 def test_wrapper_has_groups_options_and_slots():
     w = html_extract.infer(["<div><h2>A</h2><p>x</p><h2>B</h2><p>y</p></div><i>z</i>", "<div><h2>C</h2><p>x</p><h2>D</h2><p>q</p><h2>E</h2><p>r</p></div><hr><table><tr><td>1</td></tr></table>"])
     text = html_extract.expression(w)

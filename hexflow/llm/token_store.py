@@ -330,9 +330,25 @@ def _shifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(crc.astype(np.int64))], [*names, "crc"])
 
 
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        roots = [hashlib.blake2b(b"".join(d), digest_size=16).digest() for d in batch.column("digests").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("part", "idx", "n_tokens")), pa.array(roots, pa.binary())], ["part", "idx", "n_tokens", "root"])
+
+
+def verify_manifest(spark: SparkSession, store: str) -> None:
+    """Builds all Merkle nodes again from the recipes' digests; a node that differs from the manifest is an error."""
+    recipes = spark.read.parquet(f"{store}/recipes").select("part", "idx", "n_tokens", "digests")
+    nodes = _manifest(recipes.mapInArrow(_rooted, "part int, idx long, n_tokens long, root binary"))
+    sides = nodes.withColumn("side", F.lit(1)).union(spark.read.parquet(f"{store}/manifest").withColumn("side", F.lit(-1)))
+    if not sides.groupBy(*nodes.columns).agg(F.sum("side").alias("off")).filter("off <> 0").isEmpty():
+        raise ValueError("the recipes differ from the manifest")
+
+
 def read_back(spark: SparkSession, store: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) from the files; a damaged or missing chunk is an error."""
+    """(doc_id, start, n_tokens, ids_crc32) from the files; a damaged or missing chunk or recipe is an error."""
     ship_package(spark)
+    verify_manifest(spark, store)
     recipes = spark.read.parquet(f"{store}/recipes")
     parts = recipes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     begin = parts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("part_start"))

@@ -283,6 +283,22 @@ def test_token_store_round_trip(spark):
     assert token_store.token_store(none(spark), path).count() == 0
 
 
+def test_token_store_notices_changed_recipes(spark):
+    import shutil
+
+    store = token_store.write_store(docs_of(spark, corpus()), queries.tokenizer_path(), chunking=token_store.Chunking(bits=5, least=8, most=256))
+    assert token_store.read_back(spark, store).count() == len(corpus())
+    recipes = spark.read.parquet(f"{store}/recipes").toPandas()
+    kinds = spark.read.parquet(f"{store}/recipes").schema
+    turned = recipes.assign(digests=[d[::-1] for d in recipes.digests], counts=[c[::-1] for c in recipes.counts])
+    for changed in (turned, recipes.iloc[1:]):
+        shutil.rmtree(f"{store}/recipes")
+        rows = [tuple(list(v) if k in ("digests", "counts") else v for k, v in r.items()) for r in changed.to_dict("records")]
+        spark.createDataFrame(rows, kinds).write.parquet(f"{store}/recipes")
+        with pytest.raises(ValueError, match="manifest"):
+            token_store.read_back(spark, store).collect()
+
+
 def test_crc_of_parts():
     a, b = b"some bytes", b"and others" * 1000
     shifted = int(token_store.crc_shift(np.array([zlib.crc32(a)]), np.array([len(b)]))[0])

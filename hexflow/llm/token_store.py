@@ -14,15 +14,16 @@ ids need to move to their documents.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import json
-import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +33,8 @@ from hexflow.llm.scratch import Scratch
 from hexflow.llm.text import mix, slices, split_words
 from hexflow.session import ship_package
 
-#: Pieces of words, and words that aren't made of such pieces, whose ids a Python worker keeps.
-_CACHE_PIECES, _CACHE_WORDS = 700_000, 100_000
+#: Pieces of words whose ids a Python worker keeps.
+_CACHE_PIECES = 700_000
 _tokenizers: dict[str, "Encoder"] = {}
 
 
@@ -48,21 +49,22 @@ class Chunking:
 
 
 class Encoder:
-    """A tokenizer with the ids of the words met, as little-endian uint32 bytes.
+    """A tokenizer with the ids of the pieces met.
 
     Where the tokenizer cuts at white space and drops it, a text's ids are its words' ids in order,
     so each distinct word is encoded once.  Where it also lower-cases and cuts letters from other
     characters, a word of letters below U+0100 (already in normal form C) with perhaps one mark
-    behind it has the ids of its lower-cased letters and of the mark; these go to the model directly.
+    behind it has the ids of its lower-cased letters and those of the mark, so "word", "Word" and
+    "word," share one piece.
     """
 
-    _MARKS = frozenset(".,;:!?")
+    _MARKS = ".,;:!?"
+    _PLAIN = "^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,;:!?]?$"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         shape = json.loads(self.tokenizer.to_str())
         steps = [x["type"] for x in (shape["normalizer"] or {}).get("normalizers", [])]
@@ -70,54 +72,73 @@ class Encoder:
         # Fixed value: the pattern by which this family of tokenizers cuts words.
         pattern = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
         self.by_word = steps == ["NFC", "Replace", "Lowercase"] and cut[0].get("pattern", {}).get("Regex") == pattern and cut[0].get("invert") and cut[0].get("behavior") == "Removed"
-        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-        other = [b for b in range(256) if b not in plain]
-        letters = {**{b: chr(b) for b in plain}, **{b: chr(256 + k) for k, b in enumerate(other)}}
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        hidden = [b for b in range(256) if b not in shown]
+        letters = {**{b: chr(b) for b in shown}, **{b: chr(256 + k) for k, b in enumerate(hidden)}}
         self.alphabet = [letters[b] for b in range(256)]  # the byte-level alphabet
-
-    def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            shown = piece if piece.isascii() else "".join(map(self.alphabet.__getitem__, piece.encode()))
-            tokens = self.tokenizer.model.tokenize(shown)
-            found = struct.pack(f"<{len(tokens)}I", *[x.id for x in tokens])
-            if len(self.pieces) >= _CACHE_PIECES:
-                self.pieces.clear()
-            self.pieces[piece] = found
-        return found
-
-    def ids(self, words: list[str]) -> list[bytes]:
-        """The ids of each word (distinct ones)."""
-        known, pieces, out, rare = self.words, self.pieces, [], []
-        marks = {m: self._piece(m) for m in self._MARKS}
-        for at, w in enumerate(words):
-            mark = marks.get(w[-1])
-            body = w if mark is None else w[:-1]
-            if body.isalpha() and (body.isascii() or max(body) < "\u0100"):
-                body = body.lower()
-                found = pieces.get(body)
-                if found is None:
-                    found = self._piece(body)
-                if mark is not None:
-                    found += mark
-            else:
-                found = known.get(w)
-                if found is None:
-                    rare.append(at)
-            out.append(found)
-        if len(known) + len(rare) > _CACHE_WORDS:
+        ids = np.arange(self.tokenizer.get_vocab_size(), dtype="<u4").tobytes()
+        self.raw = [ids[k : k + 4] for k in range(0, len(ids), 4)]
+
+    def _letters(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else "".join(map(self.alphabet.__getitem__, piece.encode()))
+        return b"".join([self.raw[t.id] for t in self.tokenizer.model.tokenize(shown)])
+
+    def _ids(self, pieces: list[str], letters: int) -> list[bytes]:
+        """The ids of each piece (distinct ones) as little-endian uint32 bytes; the first ``letters`` go to the model directly."""
+        known = self.pieces
+        out = [known.get(p) for p in pieces]
+        new = [k for k, found in enumerate(out) if found is None]
+        if len(known) + len(new) > _CACHE_PIECES:
             known.clear()
-        for a in range(0, len(rare), 20_000):
-            some = rare[a : a + 20_000]
-            encoded = self.tokenizer.encode([words[k] for k in some], is_pretokenized=True, add_special_tokens=False)
+        cut = bisect.bisect_left(new, letters)
+        for k in new[:cut]:
+            out[k] = known[pieces[k]] = self._letters(pieces[k])
+        for a in range(cut, len(new), 20_000):
+            some = new[a : a + 20_000]
+            encoded = self.tokenizer.encode([pieces[k] for k in some], is_pretokenized=True, add_special_tokens=False)
             raw = np.array(encoded.ids, dtype="<u4").tobytes()
             ends = np.searchsorted(np.array(encoded.word_ids, dtype=np.int64), np.arange(len(some)), side="right") * 4
             start = 0
             for k, end in zip(some, ends.tolist(), strict=True):
-                out[k] = known[words[k]] = raw[start:end]
+                out[k] = known[pieces[k]] = raw[start:end]
                 start = end
         return out
 
+    def table(self, vocab: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words of ``vocab`` (distinct ones), flat, and the words' offsets into them."""
+        plain = pc.match_substring_regex(vocab, self._PLAIN)
+        words = vocab.filter(plain)
+        bodies = pc.utf8_rtrim(words, self._MARKS)
+        marked = pc.not_equal(pc.binary_length(words), pc.binary_length(bodies)).to_numpy(zero_copy_only=False)
+        lowered = pc.utf8_lower(bodies).dictionary_encode()
+        others = vocab.filter(pc.invert(plain)).to_pylist()
+        table = self._ids([*lowered.dictionary.to_pylist(), *others, *self._MARKS], len(lowered.dictionary)) + [b""]
+        first_mark = len(table) - 1 - len(self._MARKS)
+        # every word is a piece and a mark, perhaps the empty one at the table's end
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        both = np.full((len(vocab), 2), len(table) - 1, dtype=np.int64)
+        both[is_plain, 0] = lowered.indices.to_numpy(zero_copy_only=False)
+        both[~is_plain, 0] = len(lowered.dictionary) + np.arange(len(others))
+        at = np.flatnonzero(is_plain)[marked]
+        if len(at):
+            mark_of = np.full(256, len(table) - 1, dtype=np.int64)
+            mark_of[np.frombuffer(self._MARKS.encode(), np.uint8)] = first_mark + np.arange(len(self._MARKS))
+            ends = np.frombuffer(vocab.buffers()[1], np.int32)[vocab.offset + 1 : vocab.offset + 1 + len(vocab)]
+            both[at, 1] = mark_of[np.frombuffer(vocab.buffers()[2], np.uint8)[ends[at] - 1]]
+        sizes = np.fromiter(map(len, table), dtype=np.int64, count=len(table)) // 4
+        flat = np.frombuffer(b"".join(table), "<u4")
+        ids, ends = _gathered(flat, np.cumsum(sizes) - sizes, sizes, both.reshape(-1))
+        return ids, np.concatenate(([0], ends[1::2]))
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``flat`` that ``codes`` name, one after another, and their ends."""
+    lens = sizes[codes]
+    ends = np.cumsum(lens)
+    at = np.repeat(starts[codes] - (ends - lens), lens)
+    at += np.arange(len(at))
+    return flat[at], ends
+
 
 def encode(path: str, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, flat, each closed by ``end_id``, and the texts' offsets into them."""
@@ -129,14 +150,10 @@ def encode(path: str, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndar
         offsets = np.concatenate(([0], np.cumsum([len(e.ids) + 1 for e in encoded]))).astype(np.int64)
         return np.array([i for e in encoded for i in (*e.ids, end_id)], dtype=np.uint32), offsets
     words = split_words(texts)
-    table = encoder.ids(words.vocab.to_pylist())
-    table.append(struct.pack("<I", end_id))  # as a last word of every text
-    codes = np.insert(words.codes, words.starts[1:], len(table) - 1)
-    sizes = np.fromiter(map(len, table), dtype=np.int64, count=len(table)) // 4
-    at = np.cumsum(sizes) - sizes
-    lens = sizes[codes]
-    ends = np.cumsum(lens)
-    ids = np.frombuffer(b"".join(table), "<u4")[np.repeat(at[codes] - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)]
+    flat, offsets = encoder.table(words.vocab)
+    flat = np.append(flat, np.uint32(end_id))  # as a last word of every text
+    codes = np.insert(words.codes, words.starts[1:], len(offsets) - 1)
+    ids, ends = _gathered(flat, offsets, np.append(np.diff(offsets), 1), codes)
     return ids, np.concatenate(([0], ends[words.starts[1:] + np.arange(len(words.counts))]))
 
 
@@ -167,7 +184,7 @@ def _encoded(path: str, end_id: int, wide: bool, c: Chunking):
         seen: set[bytes] = set()
         occ = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 12 << 20):
                 ids, offsets = encode(path, part.column("text"), end_id)
                 stored = ids.astype("<u4" if wide else "<u2")
                 docs = part.column("doc_id").to_pylist()

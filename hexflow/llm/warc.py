@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hexflow.llm.html_extract import tokens
 from hexflow.llm.scratch import Scratch
 from hexflow.llm.text import slices
 from hexflow.session import ship_package
@@ -28,12 +29,10 @@ from hexflow.session import ship_package
 VERSION = b"WARC/1.1"
 _NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:hexflow:warc")
 # Elements whose content is no text, and elements that end a line.
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_LINES = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|tbody|td|th|thead|title|tr|ul)\b[^>]*>", re.I)
-_TAG = re.compile(r"<(?:[a-zA-Z/!?])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>")
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", re.S | re.I)
-_BLANK = re.compile(r"[ \t\r\f\v ]+")
+_HIDDEN = frozenset("noscript template head svg".split())
+_LINES = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td th thead tr ul".split())
+_HREF = re.compile(r"(?<![^\s\"'/])href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", re.I)
+_BLANK = re.compile("[ \\t\\r\\f\\v\\xa0]+")
 
 
 def sha1(data: bytes) -> str:
@@ -77,10 +76,32 @@ def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return lines[0], [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines[1:])], payload
 
 
-def plain_text(page: str) -> str:
-    """Visible text, one line a block; lines without text go."""
-    text = html.unescape(_TAG.sub("", _LINES.sub("\n", _HIDDEN.sub("\n", page))))
-    return "\n".join(x for x in (_BLANK.sub(" ", line).strip() for line in text.split("\n")) if x)
+def page_parts(page: str) -> tuple[str, str | None, list[str]]:
+    """(visible text, title, links) of a page: one line a block, lines without text left out."""
+    text, links, title, hidden = [], [], None, []
+    for kind, value, attrs in tokens(page):
+        if kind == "text":
+            if not hidden:
+                text.append(value)
+        elif kind == "raw":
+            if value == "title" and title is None:
+                title = html.unescape(attrs)
+            if value in ("title", "textarea", "xmp") and not hidden:
+                text.append(f"\n{attrs}\n")
+        elif value in _HIDDEN:
+            if kind == "open":
+                hidden.append(value)
+            elif value in hidden:
+                del hidden[hidden.index(value) :]
+        elif value in _LINES:
+            if not hidden:
+                text.append("\n")
+        if kind == "open" and value == "a" and "=" in attrs:
+            found = _HREF.search(attrs)
+            if found:
+                links.append(html.unescape(found[1].strip("\"'")))
+    lines = _BLANK.sub(" ", html.unescape("".join(text))).split("\n")
+    return "\n".join(x for x in map(str.strip, lines) if x), title, links
 
 
 def response_record(page_id: int | None, url: str | None, page: str | None, date: str) -> bytes:
@@ -107,11 +128,10 @@ def derive(raw: bytes) -> tuple[bytes, bytes, dict]:
     except LookupError:
         page = payload.decode("utf-8", "replace")
     sound = source.get("warc-payload-digest") in (None, sha1(payload))
-    text = plain_text(page).encode()
-    title = _TITLE.search(page)
-    links = [html.unescape(m.strip("\"'")) for m in _LINK.findall(page)]
+    text, title, links = page_parts(page)
+    text = text.encode()
     fields = [("http-status", status), *((f"http-header-{k.lower()}", v) for k, v in http), ("source-payload-digest", sha1(payload)), ("source-digest-matches", str(sound).lower())]
-    fields += [("title", html.unescape(title[1]))] if title else []
+    fields += [("title", title)] if title is not None else []
     fields += [("outlink", link) for link in links]
     fields_block = "".join(f"{k}: {_one_line(v)}\r\n" for k, v in fields).encode()
     origin = source["warc-record-id"]
@@ -166,6 +186,54 @@ def derivatives(records: DataFrame) -> DataFrame:
     return records.select("page_id", "warc").mapInArrow(run, f"page_id long, {_VALUES}, metadata binary, conversion binary")
 
 
+def write_files(records: DataFrame, path: str, *columns: str) -> None:
+    """Writes records (columns of gzip members or plain records) as plain WARC files, one a task; empty tasks write none.
+
+    Only Spark's text writer touches the store, its line end being a record's; a block that is no UTF-8 is an error.
+    """
+    ship_package(records.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            plain = [gzip.decompress(r) if r[:2] == b"\x1f\x8b" else r for c in columns for r in batch.column(c).to_pylist() if r is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([r.removesuffix(b"\r\n\r\n").decode() for r in plain], pa.string())], ["value"])
+
+    records.select(*columns).mapInArrow(run, "value string").write.option("lineSep", "\r\n\r\n").text(path)
+
+
+def split_records(raw: bytes) -> Iterator[bytes]:
+    """The records of a WARC file, plain or of gzip members; a file that ends inside a record is an error."""
+    if raw[:2] == b"\x1f\x8b":
+        raw = gzip.decompress(raw)
+    at = 0
+    while at < len(raw):
+        head = raw.find(b"\r\n\r\n", at)
+        sizes = [line.partition(b":")[2] for line in raw[at:head].split(b"\r\n") if line[:15].lower() == b"content-length:"]
+        if head < 0 or not raw.startswith(b"WARC/", at) or not sizes or (end := head + 4 + int(sizes[0])) > len(raw):
+            raise ValueError("not a whole WARC record")
+        yield raw[at:end] + b"\r\n\r\n"
+        at = end
+        while raw.startswith(b"\r\n", at):
+            at += 2
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, type, warc): every record of the WARC files below ``path``; a file must fit in a binary cell (2 GB)."""
+    ship_package(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, raw in zip(batch.column("path"), batch.column("content"), strict=True):
+                records = list(split_records(raw.as_py()))
+                for a in range(0, len(records), 1000):
+                    some = records[a : a + 1000]
+                    kinds = [parse(r)[0].get("warc-type") for r in some]
+                    yield pa.RecordBatch.from_arrays([pa.array([file.as_py()] * len(some), pa.string()), pa.array(kinds, pa.string()), pa.array(some, pa.binary())], ["file", "type", "warc"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "content").mapInArrow(run, "file string, type string, warc binary")
+
+
 def write_derivatives(pages: DataFrame) -> str:
     """Writes the derivatives of ``pages`` as a table of gzip members; returns its folder."""
     scratch = Scratch(pages.sparkSession, "warc")

@@ -63,7 +63,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], df: dict[str, int], n: int, mean: float, s: Settings):
         self.s = s
-        self.items = [(i, item_words(t), answer_start(t)) for i, t in items]
+        self.items = [(i, item_words(t), answer_start(t)) for i, t in items]  # item_id may be null
         self.pieces: list[int] = []
         weights: list[dict[str, float]] = []
         for at, (_, words, _) in enumerate(self.items):
@@ -211,7 +211,7 @@ class Index:
 
 def _shards(items: DataFrame, s: Settings) -> Iterator[Index]:
     """One index of at most ``shard_bytes`` of text at a time, weighted by the statistics of all items."""
-    items = items.select("item_id", "text").filter("item_id is not null and length(trim(text)) > 0")
+    items = items.select("item_id", "text").filter("length(trim(text)) > 0")
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     if not total:
         return
@@ -231,9 +231,11 @@ def _shards(items: DataFrame, s: Settings) -> Iterator[Index]:
     scratch = Scratch(items.sparkSession, "decontam")
     stats = scratch.save(items.select("text").mapInArrow(pieces, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"), F.count("*").alias("rows")), "terms")
     whole = stats.filter("term is null").first()
+    if whole is None:  # items of tabs and line ends alone
+        return
     for k in range(n_shards):
-        mine = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_shards)) == k).collect()
-        mine = sorted((r["item_id"], r["text"]) for r in mine)
+        mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_shards)) == k).collect()
+        mine = sorted(((r["item_id"], r["text"]) for r in mine), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
         used = {w for _, t in mine for w in item_words(t)}
         if n_shards == 1:
             df = {r["term"]: r["df"] for r in stats.filter("term is not null").collect()}
@@ -248,8 +250,9 @@ def leaks(docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> DataFr
     """(doc_id, item_id, score, question_overlap, answer_overlap, item_overlap): every item found in a document.
 
     Words are lower-cased (A-Z), cut at ASCII white space and stripped of outer ASCII punctuation.
-    Null or empty texts leak nothing, null or empty items match nothing; an empty table on either
-    side gives an empty result.  Repeated items are reported each; extra columns are ignored.
+    Null or empty texts leak nothing, null, empty or blank items match nothing; an empty table on either
+    side gives an empty result.  Items and documents without an id are searched like others and reported
+    with a null id.  Repeated items and repeated rows are reported each; extra columns are ignored.
     Benchmarks larger than ``shard_bytes`` are searched shard by shard over all documents.
     """
     spark = docs.sparkSession

@@ -9,7 +9,10 @@ run over all sources at once as a column expression.
 Rates become whole copies by systematic rounding: documents of a source are ranked by size, and
 document k gets an extra copy where ``(k * fraction + phase)`` passes a whole number, so any stretch
 of equal sizes is at most one copy off.  Of 16 phases each source takes the one nearest its target.
-Ranks come from counts per (source, size, salt), so no source is gathered in one task.
+Ranks come from one range partitioning of all rows, so no source is gathered in one task.
+
+A constraint on a source's words alone tilts all its documents alike, so the balance has one rate a
+source, ``target / S`` in closed form, to which the iterations converge.
 """
 
 from __future__ import annotations
@@ -76,37 +79,50 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
     scratch = Scratch(docs.sparkSession, "mixing")
     sized = scratch.save(docs.select("doc_id", "source", word_count().alias("size")), "sized")
     sources = scratch.save(source_targets(sized, weights, cap), "sources")
-    frac = F.col("rate_ppm") % F.lit(MILLION)
     rows = sized.join(sources.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name"))).drop("name", "source")
-    rows = rows.withColumn("salt", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(SALTS)))
-    cell = ["sid", "size", "salt"]
-    ahead = W.partitionBy("sid").orderBy(F.col("size").desc(), "salt").rowsBetween(W.unboundedPreceding, -1)
-    cells = rows.groupBy(*cell, "rate_ppm", "target").agg(F.count("*").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
-    cells = scratch.save(cells, "cells")
-
-    def extra(first: Column, n: Column, phase: Column) -> Column:
-        return _passed(first + n, frac, phase) - _passed(first, frac, phase)
-
-    phases = [F.lit(j * (MILLION // PHASES)) for j in range(PHASES)]
-    whole = F.call_function("div", F.col("rate_ppm"), F.lit(MILLION))
-    totals = [F.sum(F.col("size") * (F.col("n") * whole + extra(F.col("ahead"), F.col("n"), p))).alias(f"t{j}") for j, p in enumerate(phases)]
-    tried = cells.groupBy("sid", "target").agg(*totals)
-    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{j}") - F.col("target")).alias("off"), p.cast("long").alias("phase")) for j, p in enumerate(phases)]))
-    chosen = tried.select("sid", nearest["phase"].alias("phase"))
+    ranked = _ranked(scratch, rows)
+
+    frac, whole = F.col("rate_ppm") % F.lit(MILLION), F.call_function("div", F.col("rate_ppm"), F.lit(MILLION))
+    phases = [F.lit(j * (MILLION // PHASES)).cast("long") for j in range(PHASES)]
 
-    rank = F.row_number().over(W.partitionBy(*cell).orderBy("doc_id")) - 1
-    placed = rows.withColumn("rank", rank).join(cells.select(*cell, "ahead"), cell).join(chosen, "sid")
-    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(whole + extra(F.col("ahead") + F.col("rank"), F.lit(1), F.col("phase")))
-    out = placed.withColumn("copies", F.least(copies, F.lit(cap)).cast("int"))
+    def extra(phase: Column) -> Column:
+        return _passed(F.col("rank") + 1, frac, phase) - _passed(F.col("rank"), frac, phase)
+
+    tried = ranked.groupBy("sid", "target").agg(*[F.sum(F.col("size") * (whole + extra(p))).alias(f"t{j}") for j, p in enumerate(phases)])
+    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{j}") - F.col("target")).alias("off"), p.alias("phase")) for j, p in enumerate(phases)]))
+    chosen = tried.select("sid", nearest["phase"].alias("phase"))
+    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(whole + extra(F.col("phase")))
+    out = ranked.join(chosen, "sid").withColumn("copies", F.least(copies, F.lit(cap)).cast("int"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
 
 
+def _ranked(scratch: Scratch, rows: DataFrame) -> DataFrame:
+    """``rows`` with ``rank``, their place from 0 in their source by size (largest first), salt and doc_id.
+
+    One range partitioning puts all rows in order; a row's place is its place in its partition, which
+    monotonically_increasing_id holds, less where its source begins there, and the source's rows in
+    earlier partitions.  Those counts have one row a partition and source, so no task and no broadcast
+    grows with a source.
+    """
+    in_order = [F.col("sid"), F.col("size").desc(), F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(SALTS)), F.col("doc_id")]
+    placed = rows.repartitionByRange(*in_order).sortWithinPartitions(*in_order).withColumn("at", F.monotonically_increasing_id())
+    placed = scratch.save(placed.withColumn("part", F.shiftright("at", 33)), "placed")
+    starts = placed.groupBy("sid", "part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("sid").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = scratch.save(starts.select("sid", "part", (before - F.col("first")).alias("shift")), "starts")
+    return placed.join(starts, ["sid", "part"]).withColumn("rank", F.col("at") + F.col("shift")).drop("at", "part", "shift")
+
+
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """``docs`` with every row repeated as often as ``mix`` takes it (rows of one doc_id together as one document)."""
+    """``docs`` with every row repeated as often as ``mix`` takes it.
+
+    Rows that share a doc_id, or have none, are repeated alike: as often as the one taken most.
+    """
     names = docs.columns
-    copies = mix(docs, weights, cap).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    out = docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.expr("if(_copies > 0, sequence(1, _copies), array())")))
-    return out.select(*names)
+    n = "n" + "_" * max(map(len, names))  # clashes with no column
+    copies = mix(docs, weights, cap).groupBy(F.col("doc_id").alias(f"{n}id")).agg(F.max("copies").alias(n))
+    out = docs.join(copies, F.col("doc_id").eqNullSafe(F.col(f"{n}id")))
+    return out.filter(F.col(n) > 0).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*names)
 
 
 #: The same result in DuckDB's dialect, with the dual solved in closed form.

@@ -370,3 +370,47 @@ def test_pipeline_stages(spark, small):
 def test_fingerprint_of_kept_text(spark, small):
     r = queries.op3_substring_dedup(spark, small).first()
     assert len(r.kept_sha256) == 64 and hashlib.sha256(b"").hexdigest() != ""
+
+
+def test_mixed_repeats_rows_without_ids_and_clashing_columns(spark):
+    rows = [(k if k % 7 else None, " ".join(["w"] * (k % 13)), f"s{k % 3}", k, k) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _copies int, n int")
+    out = mixing.mixed(df)
+    assert out.columns == df.columns
+    copies = defaultdict(int)
+    for r in mixing.mix(df).collect():
+        copies[r.doc_id] = max(copies[r.doc_id], r.copies)
+    assert out.count() == sum(copies[r[0]] for r in rows) and out.filter("doc_id is null").count() > 0
+
+
+def test_mixing_ranks_do_not_depend_on_partitions(spark):
+    df = _mixing_docs(spark)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    got = []
+    for n in ("1", "3", "17"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got.append(sorted(map(tuple, mixing.mix(df.repartition(int(n))).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert got[0] == got[1] == got[2]
+
+
+def test_leaks_of_blank_items_and_items_without_ids(spark):
+    df = docs_of(spark, [" ".join(words(30, 60)), None])
+    blank = spark.createDataFrame([(1, "\t\n"), (2, " ")], "item_id long, text string")
+    assert decontam.leaks(df, blank).count() == 0
+    bench = spark.createDataFrame([(None, " ".join(words(30, 60))), (None, None), (4, " ".join(words(30, 61)))], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontam.leaks(df, bench).collect()] == [(0, None)]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from hexflow.llm import scratch
+
+    def session(master, conf):
+        return SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, getCheckpointDir=lambda: None, master=master))
+
+    assert scratch.shared_dir(session("spark://x", {"spark.checkpoint.dir": "hdfs://y/z/"})) == "hdfs://y/z"
+    for master in ("spark://x:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            scratch.shared_dir(session(master, {}))

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from hexflow.functions import geo
-from hexflow.operators import features
+from hexflow.operators import features, order
+from hexflow.store import Scratch
 
 KEY = ["player_id", "day_of_week", "period"]
 SEED = 42
 MAX_POSITIVES = 10
 NEG_RATIO = 5
+# The columns of the enriched tables.
 NUMERIC = [
     "day_of_week", "pair_past_visits", "pair_distance_from_home_km", "player_total_events_log", "player_unique_sessions", "player_events_per_session_mean", "player_active_days_ratio", "player_weekday_ratio",
     "player_evening_ratio", "player_hour_concentration", "player_distance_from_home_mean_km", "player_unique_hexes_count_log", "hex_global_popularity", "hex_total_visits", "hex_n_unique_archetypes",
@@ -41,23 +43,36 @@ def candidates(visited: DataFrame, top: DataFrame, exclude_all_visited: bool = F
     return queries.join(features.universe(visited), "player_id").join(taken.select(*KEY, "hex_id"), [*KEY, "hex_id"], "left_anti")
 
 
-def negatives(visited: DataFrame, top: DataFrame, ratio: int = NEG_RATIO, seed: int = SEED, exclude_all_visited: bool = False) -> DataFrame:
-    order = W.partitionBy(*KEY).orderBy(draw(*KEY, "hex_id", seed=seed), "hex_id")
-    return candidates(visited, top, exclude_all_visited).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= ratio * F.col("n_positives"))
+def drawn_queries(visited: DataFrame, ratio: int = NEG_RATIO, most: int = MAX_POSITIVES, seed: int = SEED, exclude_all_visited: bool = False) -> DataFrame:
+    """One row a query: (player_id, day_of_week, period, top, drawn), its positive cells and its sampled negatives.
+
+    Visits are dealt by player once; a query's cells and a player's universe, both as long as the
+    player has cells, are then arrays of one row each, so candidates are never rows of a shuffle.
+    """
+    dealt = visited.select(*KEY, "hex_id", "n_visits").repartition("player_id")
+    seen = F.sort_array(F.collect_list(F.struct((-F.col("n_visits")).alias("n"), "hex_id")))
+    queries = dealt.groupBy(*KEY).agg(F.transform(seen, lambda x: x["hex_id"]).alias("seen")).withColumn("top", F.slice("seen", 1, most))
+    queries = queries.join(dealt.groupBy("player_id").agg(F.collect_set("hex_id").alias("universe")), "player_id")
+    left = F.array_except("universe", "seen" if exclude_all_visited else "top")
+    in_order = F.sort_array(F.transform(left, lambda h: F.struct(draw(*KEY, h, seed=seed).alias("draw"), h.alias("hex_id"))))
+    picked = F.slice(in_order, F.lit(1), F.lit(ratio) * F.size("top"))
+    return queries.select(*KEY, "top", F.transform(picked, lambda x: x["hex_id"]).alias("drawn"))
 
 
-def query_ids(queries: DataFrame) -> DataFrame:
-    """Dense ids in key order over a table of distinct queries (not over pairs)."""
-    return queries.select(*KEY).distinct().withColumn("group_id", (F.row_number().over(W.orderBy(*KEY)) - 1).cast("long"))
+def negatives(visited: DataFrame, **options) -> DataFrame:
+    """(player_id, day_of_week, period, hex_id): up to ``ratio`` sampled cells for each positive of a query."""
+    return drawn_queries(visited, **options).select(*KEY, F.explode("drawn").alias("hex_id"))
 
 
 def pairs(visited: DataFrame, ratio: int = NEG_RATIO, most: int = MAX_POSITIVES, seed: int = SEED, exclude_all_visited: bool = False) -> DataFrame:
-    """(player_id, day_of_week, period, hex_id, label, group_id); queries without a negative are left out."""
-    top = positives(visited, most)
-    neg = negatives(visited, top, ratio, seed, exclude_all_visited)
-    keys = query_ids(neg)
-    both = top.select(*KEY, "hex_id", F.lit(1).alias("label")).unionByName(neg.select(*KEY, "hex_id", F.lit(0).alias("label")))
-    return both.join(keys, KEY)
+    """(player_id, day_of_week, period, hex_id, label, group_id); queries without a negative are left out, ids follow the keys' order."""
+    queries = drawn_queries(visited, ratio, most, seed, exclude_all_visited).filter(F.size("drawn") > 0)
+    numbered = order.numbered(queries, KEY, "group_id")
+
+    def labelled(cells: str, label: int) -> Column:
+        return F.transform(cells, lambda h: F.struct(h.alias("hex_id"), F.lit(label).alias("label")))
+
+    return numbered.select(*KEY, "group_id", F.explode(F.concat(labelled("top", 1), labelled("drawn", 0))).alias("x")).select(*KEY, "x.hex_id", "x.label", "group_id")
 
 
 def train_test(events: DataFrame, cutoff: str, **options) -> tuple[DataFrame, DataFrame]:
@@ -75,27 +90,39 @@ def add_pair_features(rows: DataFrame, past: DataFrame, homes: DataFrame, legacy
     return out.withColumn("pair_distance_from_home_km", geo.haversine_km(*points)).drop("home_lat", "home_lon")
 
 
+def saved_events(events: DataFrame) -> DataFrame:
+    """The columns of derived events that features and pairs read, saved once for a run of several of them."""
+    columns = ["event_id", "player_id", "ts", "hour", "day_of_week", "period", "hex_id", "archetype", "home_lat", "home_lon", "lat", "lon"]
+    return Scratch(events.sparkSession, "events").save(events.select(*columns), "events")
+
+
 def enrich(rows: DataFrame, past_events: DataFrame, players: DataFrame, player_features: DataFrame, hex_features: DataFrame) -> DataFrame:
     out = add_pair_features(rows, features.pair_counts(past_events), players)
     return out.join(player_features, "player_id", "left").join(hex_features, "hex_id", "left")
 
 
-def groups_by_hash(df: DataFrame, seed: int = SEED) -> DataFrame:
-    """Distinct group ids, ranked in a reproducible random order."""
-    return df.select("group_id").distinct().withColumn("rank", F.row_number().over(W.orderBy(draw("group_id", seed=seed), "group_id")))
+def _groups(df: DataFrame) -> DataFrame:
+    return df.select("group_id").distinct()
 
 
 def subsample_groups(df: DataFrame, n: int, seed: int = SEED) -> DataFrame:
-    return df.join(groups_by_hash(df, seed).filter(F.col("rank") <= n), "group_id", "left_semi")
+    """The rows of ``n`` whole groups, drawn in a reproducible random order."""
+    some = _groups(df).orderBy(draw("group_id", seed=seed), "group_id").limit(n)
+    return df.join(some, "group_id", "left_semi")
 
 
 def split_groups(df: DataFrame, share: float, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(rest, held out): whole groups, ``int(share * groups)`` of them held out."""
-    ranked = groups_by_hash(df, seed)
-    held = ranked.crossJoin(ranked.agg(F.count("*").alias("n"))).filter(F.col("rank") <= F.floor(F.col("n") * F.lit(share))).select("group_id")
+    ranked = order.numbered(_groups(df).withColumn("_draw", draw("group_id", seed=seed)), ["_draw", "group_id"], "rank")
+    held = ranked.filter(F.col("rank") < int(ranked.count() * share)).select("group_id")
     return df.join(held, "group_id", "left_anti"), df.join(held, "group_id", "left_semi")
 
 
+def subsample_train_validation(train: DataFrame, validation: DataFrame, train_share: float, validation_share: float, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """Both tables cut to whole groups: a share of each table's groups, rounded down."""
+    return tuple(subsample_groups(df, int(_groups(df).count() * share), seed) for df, share in ((train, train_share), (validation, validation_share)))
+
+
 def stratified(players: DataFrame, share: float, seed: int = SEED) -> DataFrame:
     """ceil(share * size) players of each archetype."""
     by = W.partitionBy("archetype")
@@ -107,33 +134,38 @@ def group_sizes(df: DataFrame) -> DataFrame:
     return df.groupBy("group_id").agg(F.count("*").alias("n_rows"))
 
 
-def contiguous_runs(df: DataFrame, order: list[str], value: str = "group_id") -> DataFrame:
+def contiguous_runs(df: DataFrame, by: list[str], value: str = "group_id") -> DataFrame:
     """(run, value, n_rows): lengths of runs of equal values in the given order."""
-    by = W.orderBy(*order)
-    flagged = df.withColumn("new", (~F.col(value).eqNullSafe(F.lag(value).over(by))).cast("int"))
-    return flagged.withColumn("run", F.sum("new").over(by)).groupBy("run", value).agg(F.count("*").alias("n_rows"))
+    return order.runs(df, by, value)
 
 
 def query_metrics(scored: DataFrame, ks: tuple[int, ...] = (10, 20), precision_at: tuple[int, ...] = (5, 10)) -> DataFrame:
-    """Per-query NDCG, average precision, reciprocal rank and precision of (group_id, hex_id, label, score)."""
-    group = W.partitionBy("group_id")
-    rows = scored.select("group_id", "hex_id", F.col("label").cast("double").alias("label"), F.col("score").cast("double").alias("score"))
-    rows = rows.withColumn("rn", F.row_number().over(group.orderBy(F.col("score").desc(), "hex_id")))
-    rows = rows.withColumn("best", F.row_number().over(group.orderBy(F.col("label").desc(), "hex_id")))
-    rows = rows.withColumn("hits", F.sum(F.when(F.col("label") > 0, 1.0).otherwise(0.0)).over(group.orderBy("rn").rowsBetween(W.unboundedPreceding, 0)))
-    gain = lambda k, rank: F.sum(F.when(F.col(rank) <= k, F.col("label") / F.log2(F.col(rank) + 1.0)).otherwise(0.0))
-    relevant = F.col("label") > 0
-    aggs = [F.count("*").alias("n")]
-    for k in ks:
-        aggs += [gain(k, "rn").alias(f"dcg_{k}"), gain(k, "best").alias(f"ideal_{k}")]
-    aggs += [F.sum(F.when(relevant, F.col("hits") / F.col("rn"))).alias("precisions"), F.count_if(relevant).alias("n_relevant"), F.min(F.when(relevant, F.col("rn"))).alias("first_hit")]
-    aggs += [F.count_if(relevant & (F.col("rn") <= k)).alias(f"top_{k}") for k in precision_at]
-    out = rows.groupBy("group_id").agg(*aggs)
-    return out.select(
-        "group_id", *[F.when(F.col(f"ideal_{k}") > 0, F.col(f"dcg_{k}") / F.col(f"ideal_{k}")).otherwise(0.0).alias(f"ndcg_{k}") for k in ks],
-        F.when(F.col("n_relevant") > 0, F.col("precisions") / F.col("n_relevant")).otherwise(0.0).alias("average_precision"), F.coalesce(1.0 / F.col("first_hit"), F.lit(0.0)).alias("reciprocal_rank"),
-        *[(F.col(f"top_{k}") / F.least(F.lit(k), F.col("n"))).alias(f"precision_{k}") for k in precision_at],
-    )
+    """Per-query NDCG, average precision, reciprocal rank and precision of (group_id, hex_id, label, score).
+
+    A query's rows (its positives and sampled negatives) are one array in the order of the scores, so
+    one shuffle serves all metrics.
+    """
+    score = F.col("score").cast("double")
+    row = F.struct(score.isNull().alias("none"), (-score).alias("score"), "hex_id", F.col("label").cast("double").alias("label"))
+    rows = scored.groupBy("group_id").agg(F.transform(F.sort_array(F.collect_list(row)), lambda x: x["label"]).alias("labels"))
+    rows = rows.withColumn("best", F.sort_array("labels", asc=False))
+
+    def gain(labels: str, k: int) -> Column:
+        terms = F.transform(F.slice(labels, 1, k), lambda v, i: v / F.log2(i + F.lit(2.0)))
+        return F.aggregate(terms, F.lit(0.0), lambda s, v: s + v)
+
+    start = F.struct(F.lit(0.0).alias("hits"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("first"), F.lit(0.0).alias("at"))
+
+    def walk(s: Column, v: Column) -> Column:
+        at, hit = s["at"] + 1.0, v > 0
+        hits = s["hits"] + F.when(hit, 1.0).otherwise(0.0)
+        return F.struct(hits.alias("hits"), (s["sum"] + F.when(hit, hits / at).otherwise(0.0)).alias("sum"), F.when(hit & (s["first"] == 0), at).otherwise(s["first"]).alias("first"), at.alias("at"))
+
+    rows = rows.withColumn("walk", F.aggregate("labels", start, walk))
+    ndcg = [F.when(gain("best", k) > 0, gain("labels", k) / gain("best", k)).otherwise(0.0).alias(f"ndcg_{k}") for k in ks]
+    hits = F.col("walk.hits")
+    top = [(F.size(F.filter(F.slice("labels", 1, k), lambda v: v > 0)) / F.least(F.lit(k), F.size("labels"))).alias(f"precision_{k}") for k in precision_at]
+    return rows.select("group_id", *ndcg, F.when(hits > 0, F.col("walk.sum") / hits).otherwise(0.0).alias("average_precision"), F.when(hits > 0, 1.0 / F.col("walk.first")).otherwise(0.0).alias("reciprocal_rank"), *top)
 
 
 def ranking_metrics(scored: DataFrame) -> DataFrame:

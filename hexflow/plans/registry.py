@@ -283,8 +283,7 @@ def negatives_anti_join(spark, d):
 
 @query(sql(f"SELECT {KEYS}, hex_id FROM pairs_neg", PAST, _P))
 def negatives_sample(spark, d):
-    visited = features.visits(past(spark, d))
-    return ranking.negatives(visited, ranking.positives(visited)).select(*ranking.KEY, "hex_id")
+    return ranking.negatives(features.visits(past(spark, d)))
 
 
 _PAIR_COLUMNS = f"{KEYS}, hex_id, CAST(label AS INT) AS label, group_id"
@@ -297,7 +296,7 @@ def ltr_pairs_train(spark, d):
 
 @query(sql(f"SELECT {_PAIR_COLUMNS} FROM pairs", FUTURE, oracle.pairs("future", "pairs")))
 def ltr_pairs_test(spark, d):
-    return ranking.train_test(tables.events(spark, d), CUTOFF)[1]
+    return ranking.pairs(features.visits(features.since(tables.events(spark, d), CUTOFF)))
 
 
 @query(sql(f"SELECT {_PAIR_COLUMNS} FROM pairs", PAST, oracle.pairs("past", "pairs", all_visited=True)))
@@ -316,9 +315,11 @@ _ENRICHED_CTES = (PAST, PLAYER_FEATURES, HEX_FEATURES, _P, oracle.enriched("pair
 _ENRICHED_COLUMNS = f"{_PAIR_COLUMNS}, pair_past_visits, {r('pair_distance_from_home_km', 'pair_distance_from_home_km')}, player_unique_sessions, player_archetype, {_PF_SQL}, hex_global_popularity, hex_total_visits, hex_n_unique_archetypes"
 
 
-def _enriched(spark: SparkSession, d: str, side: int = 0) -> DataFrame:
-    ev, people = tables.events(spark, d), tables.players(spark, d)
-    rows = ranking.train_test(ev, CUTOFF)[side]
+def _enriched(spark: SparkSession, d: str, side: int = 0, serving: bool = False) -> DataFrame:
+    """Enriched pairs before (side 0) or since the cutoff; for serving, distinct (player, cell) pairs, whose features no window changes."""
+    ev, people = ranking.saved_events(tables.events(spark, d)), tables.players(spark, d)
+    rows = ranking.pairs(features.visits((features.before, features.since)[side](ev, CUTOFF)))
+    rows = rows.select("player_id", "hex_id").distinct() if serving else rows
     return ranking.enrich(rows, features.before(ev, CUTOFF), people, features.player_features(ev, people, START, CUTOFF), features.hex_features(ev, CUTOFF))
 
 
@@ -347,10 +348,9 @@ def group_sizes(spark, d):
     return ranking.group_sizes(ranking.pairs(features.visits(past(spark, d))))
 
 
-@query(sql(f"SELECT CAST(run AS BIGINT) AS run, event_type, {n('count(*)', 'n_rows')} FROM (SELECT event_type, sum(new) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT event_id, event_type, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER (ORDER BY event_id) THEN 1 ELSE 0 END AS new FROM m_events WHERE user_id = 1)) GROUP BY ALL"))
+@query(sql(f"SELECT CAST(run AS BIGINT) AS run, event_type, {n('count(*)', 'n_rows')} FROM (SELECT event_type, sum(new) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT event_id, event_type, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER (ORDER BY event_id) THEN 1 ELSE 0 END AS new FROM m_events)) GROUP BY ALL"))
 def contiguous_runs(spark, d):
-    one = tables.events(spark, d).filter("user_id = 1")
-    return ranking.contiguous_runs(one, ["event_id"], "event_type")
+    return ranking.contiguous_runs(tables.read_table(spark, f"{d}/events.parquet", ["event_id", "event_type"]), ["event_id"], "event_type")
 
 
 _GROUPS = "grp AS (SELECT group_id, row_number() OVER (ORDER BY md5('42|' || group_id), group_id) AS rank, count(*) OVER () AS total FROM (SELECT DISTINCT group_id FROM pairs))"
@@ -378,7 +378,7 @@ _TEST_CTES = (PAST, FUTURE, PLAYER_FEATURES, HEX_FEATURES, oracle.pairs("future"
 @query(sql(f"SELECT {_METRICS} FROM mt_query", *_TEST_CTES, "scored AS (SELECT group_id, hex_id, label, pair_past_visits AS score FROM enriched)", oracle.metrics("scored")))
 def rank_metrics_past_visits(spark, d):
     ev = tables.events(spark, d)
-    rows = ranking.train_test(ev, CUTOFF)[1]
+    rows = ranking.pairs(features.visits(features.since(ev, CUTOFF)))
     scored = ranking.add_pair_features(rows, features.pair_counts(features.before(ev, CUTOFF)), tables.players(spark, d))
     return ranking.ranking_metrics(scored.withColumn("score", F.col("pair_past_visits")))
 
@@ -393,12 +393,13 @@ def _random_score():
 
 @query(sql(f"SELECT {_METRICS} FROM mt_query", FUTURE, oracle.pairs("future", "pairs"), f"scored AS (SELECT group_id, hex_id, label, {_HASH_SCORE} AS score FROM pairs)", oracle.metrics("scored")))
 def rank_metrics_random(spark, d):
-    return ranking.ranking_metrics(ranking.train_test(tables.events(spark, d), CUTOFF)[1].withColumn("score", _random_score()))
+    rows = ranking.pairs(features.visits(features.since(tables.events(spark, d), CUTOFF)))
+    return ranking.ranking_metrics(rows.withColumn("score", _random_score()))
 
 
 @query(sql(f"SELECT group_id, {r('ndcg_10', 'ndcg_10')}, {r('ap', 'average_precision')}, {r('rr', 'reciprocal_rank')}, {r('p5', 'precision_5')} FROM mt_query", FUTURE, oracle.pairs("future", "pairs"), f"scored AS (SELECT group_id, hex_id, label, {_HASH_SCORE} AS score FROM pairs)", oracle.metrics("scored")))
 def query_metrics(spark, d):
-    rows = ranking.train_test(tables.events(spark, d), CUTOFF)[1].withColumn("score", _random_score())
+    rows = ranking.pairs(features.visits(features.since(tables.events(spark, d), CUTOFF))).withColumn("score", _random_score())
     return ranking.query_metrics(rows).select("group_id", "ndcg_10", "average_precision", "reciprocal_rank", "precision_5")
 
 
@@ -407,19 +408,18 @@ _SERVING = "serving AS (SELECT DISTINCT player_id, hex_id, pair_past_visits, rou
 
 @query(sql("SELECT player_id, hex_id, pair_past_visits, pair_distance_from_home_km + 0.0 AS pair_distance_from_home_km, hex_total_visits FROM serving", *_ENRICHED_CTES, _SERVING))
 def serving_features(spark, d):
-    return ranking.serving_table(_enriched(spark, d)).select("player_id", "hex_id", "pair_past_visits", "pair_distance_from_home_km", "hex_total_visits")
+    return ranking.serving_table(_enriched(spark, d, serving=True)).select("player_id", "hex_id", "pair_past_visits", "pair_distance_from_home_km", "hex_total_visits")
 
 
-@query(sql("SELECT player_id AS request_id, player_id, CAST(rn AS INT) AS position, hex_id, CAST(pair_past_visits AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY pair_past_visits DESC, hex_id) AS rn FROM serving WHERE CAST(player_id AS INT) % 10 = 3) WHERE rn <= 5", *_ENRICHED_CTES, _SERVING))
+@query(sql("SELECT player_id AS request_id, player_id, CAST(rn AS INT) AS position, hex_id, CAST(pair_past_visits AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY pair_past_visits DESC, hex_id) AS rn FROM serving) WHERE rn <= 5", *_ENRICHED_CTES, _SERVING))
 def serve_rank_batch(spark, d):
-    asked = tables.players(spark, d).filter("cast(player_id as int) % 10 = 3")  # a request table, not a sample of the serving table
-    requests = asked.select(F.col("player_id").alias("request_id"), "player_id", F.lit(2).alias("day_of_week"), F.lit("evening").alias("period"), F.lit(5).alias("top_k"))
-    return ranking.rank_batch(requests, ranking.serving_table(_enriched(spark, d)), F.col("pair_past_visits").cast("double"))
+    requests = tables.players(spark, d).select(F.col("player_id").alias("request_id"), "player_id", F.lit(2).alias("day_of_week"), F.lit("evening").alias("period"), F.lit(5).alias("top_k"))
+    return ranking.rank_batch(requests, ranking.serving_table(_enriched(spark, d, serving=True)), F.col("pair_past_visits").cast("double"))
 
 
 @query(sql(f"SELECT {n('count(DISTINCT player_id)', 'known_players')} FROM serving", *_ENRICHED_CTES, _SERVING))
 def known_players(spark, d):
-    return ranking.serving_table(_enriched(spark, d)).agg(F.count_distinct("player_id").alias("known_players"))
+    return ranking.serving_table(_enriched(spark, d, serving=True)).agg(F.count_distinct("player_id").alias("known_players"))
 
 
 # clustering evaluation; the clusters are a fixed function of the first two coordinates

@@ -229,17 +229,20 @@ def _cells(members: DataFrame, of: DataFrame, p: MinHash) -> DataFrame:
     """(bucket, i, j, doc_id, component, band, blk): what is still to compare, in pieces of about ``block`` by ``block``.
 
     A bucket whose members lie in several components sends the members outside its largest one
-    (blocks i) against all its members (blocks j, numbered after them).
+    (blocks i) against all its members (blocks j, numbered after them); up to ``block`` members are
+    one piece.
     """
     rest = members.join(of.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     sizes = rest.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     split = sizes.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", (-F.col("component")).alias("low"))).alias("top"), F.count("*").alias("components")).filter("components > 1")
     split = split.select("bucket", (-F.col("top.low")).alias("largest"), F.ceil(F.col("all") / p.block).alias("nj"), F.ceil((F.col("all") - F.col("top.n")) / p.block).alias("ni"))
     rest = rest.select("bucket", "doc_id", "component", "band").join(split, "bucket").withColumn("apart", F.col("component") != F.col("largest"))
+    one = rest.filter("nj = 1").withColumns({c: F.lit(0).cast("long") for c in ("i", "j", "blk")})
+    rest = rest.filter("nj > 1")
     i, j = F.pmod(F.xxhash64("doc_id"), F.col("ni")), F.col("ni") + F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("nj"))
     asked = rest.filter("apart").withColumn("i", i).withColumn("j", F.explode(F.expr("sequence(ni, ni + nj - 1)"))).withColumn("blk", F.col("i"))
     against = rest.withColumn("j", j).withColumn("i", F.explode(F.expr("sequence(0L, ni - 1)"))).withColumn("blk", F.col("j"))
-    return asked.unionByName(against).drop("largest", "ni", "nj", "apart")
+    return one.unionByName(asked).unionByName(against).drop("largest", "ni", "nj", "apart")
 
 
 def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:

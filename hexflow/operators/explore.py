@@ -53,3 +53,13 @@ def distribution_delta(df: DataFrame, group: str, target: DataFrame) -> DataFram
     """Observed and wanted percentages of each value and their difference in points."""
     seen = value_shares(df, group).select(group, F.col("percent").alias("observed"))
     return target.join(seen, group, "left").select(group, F.coalesce("observed", F.lit(0.0)).alias("observed"), "wanted", (F.coalesce("observed", F.lit(0.0)) - F.col("wanted")).alias("delta"))
+
+
+def describe(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, n, mean, std, min, p25, p50, p75, max) of numeric columns, in one pass."""
+    aggs = []
+    for c in columns:
+        x = F.col(c).cast("double")
+        quarters = [F.percentile(x, F.lit(p / 100)).alias(f"p{p}") for p in (25, 50, 75)]
+        aggs.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), *quarters, F.max(x).alias("max")))
+    return df.agg(F.array(*aggs).alias("all")).select(F.explode("all").alias("x")).select("x.*")

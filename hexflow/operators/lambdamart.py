@@ -10,7 +10,10 @@ from __future__ import annotations
 import json
 import random
 import time
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, fields
+
+import numpy as np
+import pandas as pd
 
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor
@@ -18,11 +21,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from hexflow import store
 from hexflow.operators import ranking
 
+# The grid of the search and the default parameters below it.
 SEARCH_SPACE = {"n_trees": [100, 200, 300, 500], "max_depth": [4, 5, 6, 7], "rate": [0.01, 0.05, 0.1, 0.2], "feature_share": [0.6, 0.8, 1.0], "bagging": [0.6, 0.8, 1.0], "min_rows": [20, 50, 100]}
 
 
+#: Stands for a missing number: below any value, so that a tree's first split on a feature can tell it from all of them.
+MISSING = -1e30
+
+
 @dataclass(frozen=True)
 class Params:
     n_trees: int = 20
@@ -41,21 +50,33 @@ class Ranker:
     columns: list[str]
     indexers: list
     trees: list = field(default_factory=list)
+    #: After early stopping: ndcg_10 on the validation rows and the number of trees it was reached with.
+    best: dict = field(default_factory=dict)
 
     def prepared(self, df: DataFrame) -> DataFrame:
-        """Numbers with nulls as -1 and categories as indices in alphabetical order (unseen ones last)."""
+        """Numbers with nulls as ``MISSING`` and categories as indices in alphabetical order (unseen ones last)."""
         for indexer in self.indexers:
             df = indexer.transform(df)
         names = [c if c in ranking.NUMERIC else f"{c}_index" for c in self.columns]
-        return df.withColumns({f"_f_{k}": F.coalesce(F.col(n).cast("double"), F.lit(-1.0)) for k, n in enumerate(names)})
+        return df.withColumns({f"_f_{k}": F.coalesce(F.col(n).cast("double"), F.lit(MISSING)) for k, n in enumerate(names)})
 
     def score(self, df: DataFrame) -> DataFrame:
-        """``df`` with ``score``."""
-        out = self.prepared(df).withColumn("score", F.lit(0.0))
-        for k, (columns, tree) in enumerate(self.trees):
-            out = VectorAssembler(inputCols=columns, outputCol=f"_v_{k}").transform(out)
-            out = tree.transform(out.withColumnRenamed(f"_v_{k}", "_v")).withColumn("score", F.col("score") + self.params.rate * F.col("_step")).drop("_v", "_step")
-        return out.select(*df.columns, "score")
+        """``df`` with ``score``: all trees in one vectorised function, so the plan doesn't grow with them."""
+        trees, rate = [(np.array([int(c.removeprefix("_f_")) for c in columns]), *_nodes(tree)) for columns, tree in self.trees], self.params.rate
+
+        def total(*features: pd.Series) -> pd.Series:
+            x = np.column_stack([f.to_numpy(dtype=np.float64) for f in features])
+            rows, out = np.arange(len(x)), np.zeros(len(x))
+            for picked, feature, threshold, left, right, value in trees:
+                at = np.zeros(len(x), dtype=np.int64)
+                while (inner := feature[at] >= 0).any():
+                    lower = x[rows, picked[np.maximum(feature[at], 0)]] <= threshold[at]
+                    at = np.where(inner, np.where(lower, left[at], right[at]), at)
+                out = out + rate * value[at]
+            return pd.Series(out)
+
+        names = [f"_f_{k}" for k in range(len(self.columns))]
+        return self.prepared(df).withColumn("score", F.pandas_udf(total, "double")(*names)).select(*[c for c in df.columns if c != "score"], "score")
 
     def importance(self, spark: SparkSession) -> DataFrame:
         """(feature, gain, splits), largest gain first."""
@@ -69,6 +90,28 @@ class Ranker:
         return spark.createDataFrame(rows, "feature string, gain double, splits int")
 
 
+def _nodes(tree) -> tuple[np.ndarray, ...]:
+    """A tree's nodes as arrays: feature (-1 in a leaf), threshold, left and right child, value."""
+    lines = iter([x.strip() for x in tree.toDebugString.splitlines()[1:] if x.strip()])
+    rows: list[list] = []
+
+    def node() -> int:
+        line, at = next(lines), len(rows)
+        if line.startswith("Predict: "):
+            rows.append([-1, 0.0, at, at, float(line[9:])])
+            return at
+        _, _, feature, _, threshold = line.rstrip(")").split()  # If (feature 3 <= 0.5)
+        rows.append([int(feature), float(threshold), 0, 0, 0.0])
+        rows[at][2] = node()
+        next(lines)  # Else
+        rows[at][3] = node()
+        return at
+
+    node()
+    feature, threshold, left, right, value = zip(*rows, strict=True)
+    return np.array(feature), np.array(threshold), np.array(left), np.array(right), np.array(value)
+
+
 def gradients(df: DataFrame) -> DataFrame:
     """(row_id, target, weight) of rows (group_id, hex_id, label, score, row_id)."""
     group = W.partitionBy("group_id")
@@ -86,14 +129,28 @@ def gradients(df: DataFrame) -> DataFrame:
     return out.filter("h > 1e-12").select("row_id", (F.col("g") / F.col("h")).alias("target"), F.col("h").alias("weight"))
 
 
-def fit(train: DataFrame, columns: list[str] | None = None, params: Params = Params()) -> Ranker:
-    """A ranker of rows (group_id, hex_id, label, features); rounds are checkpointed to the shared folder."""
+def fit(train: DataFrame, columns: list[str] | None = None, params: Params = Params(), validation: DataFrame | None = None, patience: int | None = None) -> Ranker:
+    """A ranker of rows (group_id, hex_id, label, features); rounds are checkpointed to the shared folder.
+
+    With ``validation`` rows and ``patience``, rounds end when so many in a row don't raise ndcg_10 there,
+    and the trees up to the best round stay.
+    """
+    store.shared_dir(train.sparkSession)
     columns = columns or [*ranking.NUMERIC, *ranking.CATEGORICAL]
     indexers = [StringIndexer(inputCol=c, outputCol=f"{c}_index", stringOrderType="alphabetAsc", handleInvalid="keep").fit(train) for c in columns if c in ranking.CATEGORICAL]
     ranker = Ranker(params, columns, indexers)
     names = [f"_f_{k}" for k in range(len(columns))]
-    data = ranker.prepared(train).withColumn("row_id", F.xxhash64("group_id", "hex_id")).select("group_id", "hex_id", "label", "row_id", *names).withColumn("score", F.lit(0.0))
-    data = data.repartition("group_id").checkpoint()
+
+    def started(df: DataFrame) -> DataFrame:
+        rows = ranker.prepared(df).withColumn("row_id", F.xxhash64("group_id", "hex_id")).select("group_id", "hex_id", "label", "row_id", *names)
+        return rows.withColumn("score", F.lit(0.0)).repartition("group_id").checkpoint()
+
+    def stepped(df: DataFrame, picked: list[str], tree) -> DataFrame:
+        moved = tree.transform(VectorAssembler(inputCols=picked, outputCol="_v").transform(df))
+        return moved.withColumn("score", F.col("score") + params.rate * F.col("_step")).drop("_v", "_step")
+
+    data = started(train)
+    judged = started(validation) if validation is not None and patience else None
     rng = random.Random(params.seed)
     for k in range(params.n_trees):
         picked = sorted(rng.sample(names, max(1, round(params.feature_share * len(names)))), key=names.index)
@@ -101,9 +158,19 @@ def fit(train: DataFrame, columns: list[str] | None = None, params: Params = Par
         goal = VectorAssembler(inputCols=picked, outputCol="_v").transform(bag.join(gradients(bag), "row_id"))
         tree = DecisionTreeRegressor(featuresCol="_v", labelCol="target", weightCol="weight", predictionCol="_step", maxDepth=params.max_depth, minInstancesPerNode=params.min_rows, maxBins=64, seed=params.seed + k).fit(goal)
         ranker.trees.append((picked, tree))
-        data = tree.transform(VectorAssembler(inputCols=picked, outputCol="_v").transform(data)).withColumn("score", F.col("score") + params.rate * F.col("_step")).drop("_v", "_step")
-        if (k + 1) % params.checkpoint_every == 0:
-            data = data.checkpoint()
+        data = stepped(data, picked, tree)
+        cut = (k + 1) % params.checkpoint_every == 0
+        data = data.checkpoint() if cut else data
+        if judged is not None:
+            judged = stepped(judged, picked, tree)
+            judged = judged.checkpoint() if cut else judged
+            ndcg = ranking.ranking_metrics(judged).first()["ndcg_10"]
+            if not ranker.best or ndcg > ranker.best["ndcg_10"] + 1e-12:
+                ranker.best = {"ndcg_10": ndcg, "n_trees": k + 1}
+            elif k + 1 - ranker.best["n_trees"] >= patience:
+                break
+    if ranker.best:
+        del ranker.trees[ranker.best["n_trees"] :]
     return ranker
 
 
@@ -150,3 +217,38 @@ def log_run(spark: SparkSession, folder: str, run: str, params: dict, metrics: d
 def latest_run(spark: SparkSession, folder: str, name: str) -> dict | None:
     row = spark.read.parquet(folder).filter(F.col("run") == name).orderBy(F.col("logged_at").desc()).limit(1).first()
     return row.asDict() if row else None
+
+
+def write_trials(spark: SparkSession, trials: list[dict], folder: str) -> None:
+    """Trials, best first, as CSV, and the best one's parameters as JSON."""
+    from hexflow import sinks
+
+    names = list(trials[0])
+    kinds = ", ".join(f"{n} {'long' if isinstance(trials[0][n], int) else 'double'}" for n in names)
+    spark.createDataFrame([tuple(t[n] for n in names) for t in trials], kinds).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/trials")
+    sinks.write_json(spark, parameters(trials[0]), f"{folder}/best_params")
+
+
+def parameters(trial: dict) -> dict:
+    """The parameters of a trial, without its measurements."""
+    known = {f.name for f in fields(Params)}
+    return {k: v for k, v in trial.items() if k in known}
+
+
+def log_search(spark: SparkSession, folder: str, run: str, trials: list[dict]) -> None:
+    """A run for the search, with the best trial's score, and one nested run a trial."""
+    log_run(spark, folder, run, {"n_trials": len(trials)} | parameters(trials[0]), {"best_ndcg_10": trials[0]["ndcg_10"]})
+    for t in trials:
+        given = parameters(t)
+        log_run(spark, folder, f"{run}/trial_{t['trial_id']}", given, {k: v for k, v in t.items() if k not in given and k != "trial_id"}, parent=run)
+
+
+def train_final(train: DataFrame, test: DataFrame, trial: dict, folder: str, run: str, model: str, columns: list[str] | None = None) -> tuple[Ranker, dict]:
+    """Fits with a trial's parameters, measures on ``test``, saves the model and logs the run with the model's place."""
+    spark = train.sparkSession
+    given = parameters(trial)
+    ranker = fit(train, columns, Params(**given))
+    metrics = ranking.ranking_metrics(ranker.score(test)).first().asDict()
+    save(ranker, model, spark)
+    log_run(spark, folder, run, given | {"model": model, "columns": ranker.columns}, metrics)
+    return ranker, metrics

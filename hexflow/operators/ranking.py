@@ -181,7 +181,7 @@ def serving_table(enriched: DataFrame) -> DataFrame:
     return enriched.select("player_id", "hex_id", *static).dropDuplicates(["player_id", "hex_id"])
 
 
-def rank_batch(requests: DataFrame, serving: DataFrame, score: Column) -> DataFrame:
+def rank_batch(requests: DataFrame, serving: DataFrame, score: Column, on: str | list[str] = "player_id") -> DataFrame:
     """Each request's ``top_k`` cells by ``score`` (a column of the serving table and the request).
 
     Unknown players have no rows; ``top_k`` outside 1 to 100, a weekday outside 0 to 6 or an unknown
@@ -189,6 +189,6 @@ def rank_batch(requests: DataFrame, serving: DataFrame, score: Column) -> DataFr
     """
     bad = ~(F.col("top_k").between(1, 100) & F.col("day_of_week").between(0, 6) & F.col("period").isin("night", "morning", "afternoon", "evening"))
     checked = requests.withColumn("top_k", F.when(bad, F.raise_error(F.lit("invalid request"))).otherwise(F.col("top_k")))
-    rows = checked.join(serving, "player_id").withColumn("score", score)
+    rows = checked.join(serving, on).withColumn("score", score)
     by = W.partitionBy("request_id").orderBy(F.col("score").desc(), "hex_id")
     return rows.withColumn("position", F.row_number().over(by)).filter(F.col("position") <= F.col("top_k")).select("request_id", "player_id", "position", "hex_id", "score")

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hexflow.functions import geo, stats, time
-from hexflow.operators import clusters, explore, features, ranking
+from hexflow import sinks
+from hexflow.operators import clusters, explore, features, ranking, sampling
 from hexflow.plans import oracle
 from hexflow.plans.oracle import CUTOFF, FUTURE, HEX_FEATURES, PAST, PLAYER_FEATURES, START, sql
 from hexflow.sources import synthetic, tables
+from hexflow.store import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -556,6 +558,182 @@ def set_union(spark, d):
     return features.universe(features.before(ev, CUTOFF)).union(features.universe(features.since(ev, CUTOFF))).distinct()
 
 
+# samples and summaries
+
+
+_DRAWN = "md5('42|' || event_id)"
+
+
+@query(f"SELECT event_id, event_type FROM events ORDER BY {_DRAWN}, event_id LIMIT 500")
+def uniform_sample(spark, d):
+    return sampling.uniform(tables.read_table(spark, f"{d}/events.parquet", ["event_id", "event_type"]), 500, "event_id")
+
+
+@query(sql("SELECT player_id, archetype FROM m_players QUALIFY row_number() OVER (PARTITION BY archetype ORDER BY md5('42|' || player_id), player_id) <= 5"))
+def sample_per_archetype(spark, d):
+    return sampling.per_group(tables.players(spark, d), "archetype", 5, "player_id").select("player_id", "archetype")
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events ORDER BY event_id LIMIT 50")
+def head_rows(spark, d):
+    return sampling.head(tables.read_table(spark, f"{d}/events.parquet", ["event_id", "user_id", "event_type", "value"]), 50, "event_id")
+
+
+_DESCRIBED = ("value", "hour", "lat")
+
+
+@query(sql(" UNION ALL ".join(f"SELECT '{c}' AS column, {n(f'count({c})', 'n')}, {r(f'avg({c})', 'mean', 4)}, {r(f'stddev_samp({c})', 'std', 4)}, {r(f'min({c})', 'min')}, {', '.join(r(f'quantile_cont(CAST({c} AS DOUBLE), {p / 100})', f'p{p}') for p in (25, 50, 75))}, {r(f'max({c})', 'max')} FROM m_events" for c in _DESCRIBED)))
+def describe_events(spark, d):
+    out = explore.describe(tables.events(spark, d), list(_DESCRIBED))
+    return out.withColumns({c: F.round(c, 4) for c in ("mean", "std")})
+
+
+@query(sql(f"SELECT hex_id, {n('count(*)', 'n_visits')} FROM m_events GROUP BY 1"))
+def non_negative_counts(spark, d):
+    return sampling.non_negative(tables.events(spark, d).groupBy("hex_id").agg(F.count("*").alias("n_visits")), "n_visits")
+
+
+_SHARES = "cut AS (SELECT group_id FROM grp WHERE rank <= CAST(floor(total * 0.3) AS BIGINT))"
+
+
+@query(sql(f"SELECT {_PAIR_COLUMNS} FROM pairs WHERE group_id IN (SELECT group_id FROM cut)", PAST, _P, _GROUPS, _SHARES))
+def train_validation_shares(spark, d):
+    rows = ranking.pairs(features.visits(past(spark, d)))
+    return ranking.subsample_train_validation(rows, rows, 0.3, 0.1)[0]
+
+
+# tables on disk, read back
+
+
+def _datasets(spark: SparkSession, d: str) -> str:
+    folder = Scratch(spark, "datasets").base
+    sinks.write_datasets(spark, tables.events(spark, d), tables.players(spark, d), START, CUTOFF, folder)
+    return folder
+
+
+@query(sql(f"SELECT {_ENRICHED_COLUMNS} FROM enriched", *_ENRICHED_CTES))
+def stored_enriched_train(spark, d):
+    return sinks.read_enriched(spark, _datasets(spark, d), "train")
+
+
+@query(sql(f"SELECT {_PAIR_COLUMNS} FROM pairs", FUTURE, oracle.pairs("future", "pairs")))
+def stored_pairs_test(spark, d):
+    return sinks.read_pairs(spark, _datasets(spark, d), "test")
+
+
+@query(sql(f"SELECT player_id, archetype, {r('home_lat', 'home_lat')}, {r('home_lon', 'home_lon')} FROM m_players"))
+def stored_players(spark, d):
+    path = Scratch(spark, "players").path("players")
+    sinks.write_players(tables.players(spark, d), path)
+    return tables.read_table(spark, path)
+
+
+_MATRIX = ["weekday_ratio", "evening_ratio", "hour_mean_sin", "distance_from_home_mean", "mean_events_per_session", "hex_entropy"]
+
+
+@query(sql(f"SELECT player_id, archetype, {', '.join(_MATRIX)} FROM ({_PROFILE})", oracle.sessions("m_events"), _ROLLUP))
+def stored_feature_matrix(spark, d):
+    path = Scratch(spark, "matrix").path("matrix")
+    sinks.write_feature_matrix(features.profile(tables.events(spark, d), tables.players(spark, d)), path)
+    split, names = sinks.read_feature_matrix(spark, path)
+    x = vector_to_array("features")
+    return split.select("player_id", "archetype", *[x[names.index(c)].alias(c) for c in _MATRIX])
+
+
+@query(sql("SELECT player_id, hex_id, pair_past_visits, pair_distance_from_home_km + 0.0 AS pair_distance_from_home_km, hex_total_visits FROM serving", *_ENRICHED_CTES, _SERVING))
+def stored_serving_features(spark, d):
+    path = Scratch(spark, "serving").path("features")
+    sinks.write_table(ranking.serving_table(_enriched(spark, d, serving=True)), path)
+    return tables.read_table(spark, path, ["player_id", "hex_id", "pair_past_visits", "pair_distance_from_home_km", "hex_total_visits"])
+
+
+# properties of random draws and models: what must hold of any right result
+
+
+def _all_true(*names: str) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{x}', TRUE)" for x in names) + ") t(property, holds)"
+
+
+def _properties(one: DataFrame, **holds) -> DataFrame:
+    """(property, holds) of conditions over a table of one row."""
+    rows = [F.struct(F.lit(k).alias("property"), F.coalesce(v, F.lit(False)).alias("holds")) for k, v in holds.items()]
+    return one.select(F.explode(F.array(*rows)).alias("x")).select("x.property", "x.holds")
+
+
+@query(_all_true("ids_unique", "homes_in_city", "works_share", "works_distance", "archetype_shares", "devices"))
+def generated_players_properties(spark, d):
+    made = synthetic.players(spark, synthetic.Config(n_players=4000))
+    km = geo.haversine_km(F.lit(geo.CENTRE[0]), F.lit(geo.CENTRE[1]), F.col("home_lat"), F.col("home_lon"))
+    work = geo.haversine_km(F.col("home_lat"), F.col("home_lon"), F.col("work_lat"), F.col("work_lon"))
+    shares = [F.abs(F.avg((F.col("archetype") == p[0]).cast("double")) - p[7]) < 4 * math.sqrt(p[7] / 4000) for p in synthetic.PROFILES]
+    one = made.agg(
+        F.count_distinct("player_id").alias("ids"), F.max(km).alias("far"), F.avg(F.col("work_lat").isNotNull().cast("double")).alias("works"), F.max(work).alias("work_far"),
+        F.array(*shares).alias("shares"), F.avg((F.col("device_type") == "ios").cast("double")).alias("ios"),
+    )
+    return _properties(
+        one, ids_unique=F.col("ids") == 4000, homes_in_city=F.col("far") <= synthetic.CITY_RADIUS_KM * 1.02, works_share=F.abs(F.col("works") - synthetic.WORK_PRESENT) < 0.03, works_distance=F.col("work_far") <= synthetic.WORK_KM[1] + 1e-9,
+        archetype_shares=F.forall("shares", lambda x: x), devices=F.abs(F.col("ios") - 0.45) < 0.03,
+    )
+
+
+@query(_all_true("ids_unique", "in_period", "hours_fit_timestamps", "weekdays_fit_timestamps", "types", "mean_rate", "distances_follow_positions", "sessions_by_gap"))
+def generated_events_properties(spark, d):
+    c = synthetic.Config(n_players=200, n_days=14)
+    people = synthetic.players(spark, c)
+    made = Scratch(spark, "generated").save(synthetic.events(spark, people, c), "events")
+    rate = sum(p[5] * p[7] * (5 * p[3] + 2 * p[4]) / 7 for p in synthetic.PROFILES)
+    km = geo.haversine_km(F.col("home_lat"), F.col("home_lon"), F.col("lat"), F.col("lon"))
+    rows = made.join(people.select("player_id", "home_lat", "home_lon"), "player_id")
+    again = features.sessions(made.select("player_id", "event_id", F.col("timestamp").alias("ts"), F.col("session_id").alias("given")))
+    same = again.agg(F.count_if(F.col("given") != F.col("session_id")).alias("other_sessions"))
+    one = rows.agg(
+        F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"), F.count_if(F.col("hour") != F.hour("timestamp")).alias("hours"),
+        F.count_if(F.col("day_of_week") != F.weekday("timestamp")).alias("days"), F.avg((F.col("event_type") == "spin_stop").cast("double")).alias("spins"), F.max(F.abs(km - F.col("distance_from_home_km"))).alias("off"),
+    ).crossJoin(same)  # one row each
+    return _properties(
+        one, ids_unique=F.col("ids") == F.col("n"), in_period=(F.col("first") >= F.lit("2025-01-01").cast("timestamp_ntz")) & (F.col("last") < F.lit("2025-01-15").cast("timestamp_ntz")), hours_fit_timestamps=F.col("hours") == 0,
+        weekdays_fit_timestamps=F.col("days") == 0, types=F.abs(F.col("spins") - 0.45) < 0.03, mean_rate=F.abs(F.col("n") / (200 * 14) / rate - 1) < 0.5, distances_follow_positions=F.col("off") < 1e-6, sessions_by_gap=F.col("other_sessions") == 0,
+    )
+
+
+@query(_all_true("kmeans_has_k_clusters", "kmeans_beats_one_cluster", "gmm_probabilities_sum_to_1", "gmm_takes_the_likeliest", "pca_components_uncorrelated", "pca_variances_descend"))
+def models_properties(spark, d):
+    points = Scratch(spark, "models").save(_vectors(spark, d).select("vec_id", "embedding", "label"), "scaled").transform(lambda df: clusters.vectors(df, "embedding"))
+    by_means = clusters.kmeans(points, 10, range(42, 44))
+    x = F.posexplode(vector_to_array("features")).alias("at", "x")
+    spread = by_means.select("kmeans_cluster", x).groupBy("kmeans_cluster", "at").agg(F.var_pop("x").alias("v"), F.count("*").alias("n")).agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("within"))
+    counts = by_means.agg(F.count_distinct("kmeans_cluster").alias("k"))
+    projected = clusters.pca(points, 3)[0]
+    p = vector_to_array("pca")
+    axes = projected.select(*[p[k].alias(f"c{k}") for k in range(3)]).agg(*[F.abs(F.corr(f"c{a}", f"c{b}")).alias(f"r{a}{b}") for a, b in ((0, 1), (0, 2), (1, 2))], *[F.var_pop(f"c{k}").alias(f"v{k}") for k in range(3)])
+    mixed = clusters.gaussian_mixture(projected.select("vec_id", F.col("pca").alias("features")), 4).select("gmm_cluster", vector_to_array("gmm_probability").alias("q"))
+    soft = mixed.agg(F.max(F.abs(F.aggregate("q", F.lit(0.0), lambda a, v: a + v) - 1)).alias("off"), F.count_if(F.array_max("q") > F.element_at("q", F.col("gmm_cluster") + 1)).alias("unlikely"))
+    one = spread.crossJoin(counts).crossJoin(axes).crossJoin(soft)  # one row each
+    return _properties(
+        one, kmeans_has_k_clusters=F.col("k") == 10, kmeans_beats_one_cluster=F.col("within") < 1, gmm_probabilities_sum_to_1=F.col("off") < 1e-6, gmm_takes_the_likeliest=F.col("unlikely") == 0,
+        pca_components_uncorrelated=F.greatest("r01", "r02", "r12") < 1e-6, pca_variances_descend=(F.col("v0") >= F.col("v1")) & (F.col("v1") >= F.col("v2")),
+    )
+
+
+@query(_all_true("all_rows_scored", "learns_its_training_rows", "importance_names_all_features", "saved_model_scores_alike"))
+def ranker_properties(spark, d):
+    from hexflow import serving
+    from hexflow.operators import lambdamart
+
+    folder = _datasets(spark, d)
+    train, test = (sinks.read_enriched(spark, folder, side) for side in ("train", "test"))
+    ranker = lambdamart.fit(train, params=lambdamart.Params(n_trees=2, min_rows=20))
+    scored = Scratch(spark, "ranked").save(ranker.score(test), "scored")
+    serving.register(spark, ranker, f"{folder}/models")
+    again = serving.load_model(spark, f"{folder}/models").score(test)
+    gap = scored.join(again.select("group_id", "hex_id", F.col("score").alias("again")), ["group_id", "hex_id"]).agg(F.max(F.abs(F.col("score") - F.col("again"))).alias("gap"), F.count("*").alias("both"))
+    best = ranking.ranking_metrics(ranker.score(train)).select(F.col("ndcg_10").alias("fitted"))
+    chance = ranking.ranking_metrics(train.withColumn("score", _random_score())).select(F.col("ndcg_10").alias("random"))
+    named = ranker.importance(spark).agg(F.count_distinct("feature").alias("named"))
+    one = gap.crossJoin(best).crossJoin(chance).crossJoin(named).crossJoin(test.agg(F.count("*").alias("n")))  # one row each
+    return _properties(one, all_rows_scored=F.col("both") == F.col("n"), learns_its_training_rows=F.col("fitted") > F.col("random"), importance_names_all_features=F.col("named") == len(ranker.columns), saved_model_scores_alike=F.col("gap") < 1e-12)
+
+
 # models and generator (rows only)
 
 
@@ -566,7 +744,19 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def kmeans(spark, d):
-    return clusters.kmeans(_vectors(spark, d), 10, range(42, 45)).select("vec_id", "label", "kmeans_cluster")
+    return clusters.kmeans(_vectors(spark, d), 10).select("vec_id", "label", "kmeans_cluster")
+
+
+@query()
+def clustering_comparison(spark, d):
+    """The three segmentations of the embeddings, each with its agreement with the labels."""
+    from hexflow.plans import clustering
+
+    df = tables.read_table(spark, f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("features"), "label")
+    made = Scratch(spark, "comparison").save(clustering.segmentations(df, "vec_id", "label", 10, 10, 5), "clusters")
+    rows = [made.select(F.lit(a).alias("algorithm"), F.col(f"{a}_cluster").cast("long").alias("cluster"), "label") for a in clustering.ALGORITHMS]
+    scores = [clusters.agreement(clusters.contingency(x, "cluster", "label")).crossJoin(clusters.cluster_counts(x, "cluster")).select(F.lit(a).alias("algorithm"), "*") for a, x in zip(clustering.ALGORITHMS, rows, strict=True)]  # one row each
+    return scores[0].unionByName(scores[1]).unionByName(scores[2])
 
 
 @query()

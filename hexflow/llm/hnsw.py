@@ -3,10 +3,13 @@
 Vectors are dealt to shards by a hash of their id.  A shard's graph has layers of geometrically
 fewer nodes; each layer is built by inserting batches of nodes next to their nearest ones, with
 neighbours chosen for diversity, and entered through the layer above.  Every vector queries every
-shard.  Beams widen until an audit against brute force on a sample of the queries reaches the
-wanted recall, and for any query whose beam holds nothing but links.  Cosines are verified in
-double precision.  A task returns link counts and a spanning forest of its links, so a dense group
-costs as many rows as it has members, not as it has pairs.
+shard.  Beams widen until an audit against brute force, of a fixed number of the queries of a task,
+reaches the wanted recall, and for any query whose beam holds nothing but links.  Cosines are
+verified in double precision.  A task returns link counts and a spanning forest of its links, so a
+dense group costs as many rows as it has members, not as it has pairs.
+
+A shard's graph has at most ``shard_bytes``; it meets its queries at the head of a sorted partition
+and these stream past it, so a task holds one graph and a piece of its queries.
 """
 
 from __future__ import annotations
@@ -32,16 +35,22 @@ class Settings:
     neighbours: int = 12
     build_beam: int = 48
     beam: int = 32
-    audit_share: float = 0.05
-    audit_least: int = 50
+    #: Queries of a task that are also answered by brute force.
+    audits: int = 128
     recall: float = 0.99
+    #: Shards at least; more are made where a shard would hold more vectors or bytes than these.
     shards: int = 6
-    #: More shards are made where this many vectors would be too few for them; a shard's graph lies in one task.
     shard_vectors: int = 200_000
-    #: Queries of one task.
-    query_vectors: int = 25_000
+    shard_bytes: int = 96 << 20
+    #: Queries of one task at most, and of a piece of them.
+    query_vectors: int = 1_000_000
+    piece: int = 8_192
     batch: int = 256
 
+    def shard_size(self, dim: int) -> int:
+        """Vectors of a shard: each has its coordinates in both precisions, the upper layers a tenth more, and its links."""
+        return max(1, min(self.shard_vectors, self.shard_bytes // (14 * dim + 12 * self.neighbours + 100)))
+
 
 class Layer:
     """A navigable graph over ``nodes`` (rows of x, in insertion order); ``links`` hold layer positions, -1 for none."""
@@ -206,7 +215,10 @@ class Graph:
 
 
 def linked(graph: Graph, x: np.ndarray, q: np.ndarray, s: Settings, counter: dict | None = None) -> list[np.ndarray]:
-    """For every query (unit, double) the rows of ``x`` with a cosine of ``s.cosine`` or more, found by the graph."""
+    """For every query (unit, double) the rows of ``x`` with a cosine of ``s.cosine`` or more, found by the graph.
+
+    ``counter`` takes the beam that passed the audit and its figures; one that has a beam is not audited again.
+    """
     n, out = len(x), [np.empty(0, np.int64)] * len(q)
     loose = s.cosine - 1e-4
     q32 = q.astype(np.float32)
@@ -234,8 +246,10 @@ def linked(graph: Graph, x: np.ndarray, q: np.ndarray, s: Settings, counter: dic
             rows, beam = np.array(full, dtype=np.int64), 2 * beam
 
     every = np.arange(len(q))
-    wanted = max(s.audit_least, int(s.audit_share * len(q)))
-    audit = np.sort(np.argsort(mix(every.astype(np.uint64) + np.uint64(77)), kind="stable")[:wanted])
+    if counter and "beam" in counter:
+        beams(every, counter["beam"])
+        return out
+    audit = np.sort(np.argsort(mix(every.astype(np.uint64) + np.uint64(77)), kind="stable")[: s.audits])
     truth = [np.empty(0, np.int64)] * len(q)
     exact(audit)
     for row in audit.tolist():
@@ -275,8 +289,11 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _matrix(table: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float64).reshape(table.num_rows, -1)
+def _matrix(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+    units = table.column("unit").to_pylist()
+    if len(set(map(len, units))) > 1:
+        raise ValueError("the vectors differ in length")
+    return np.frombuffer(b"".join(units), np.float64).reshape(table.num_rows, -1)
 
 
 def _build(s: Settings):
@@ -293,61 +310,90 @@ _FOUND = "rep long, links long, a long, b long"
 
 
 def _query(s: Settings):
-    def run(graphs: pa.Table, queries: pa.Table) -> pa.Table:
-        reps, links, edges_a, edges_b = [], [], [], []
-        if graphs.num_rows and queries.num_rows:
-            ids, copies, x, graph = pickle.loads(graphs.column("graph")[0].as_py())
-            own = queries.column("rep").to_numpy()
-            parent: dict[int, int] = {}
-
-            def root(v: int) -> int:
-                while (up := parent.get(v, v)) != v:
-                    parent[v] = parent.get(up, up)
-                    v = up
-                return v
-
-            for rep, rows in zip(own.tolist(), linked(graph, x, _matrix(queries), s), strict=True):
-                other = ids[rows] != rep
-                if not other.any():
-                    continue
-                reps.append(rep)
-                links.append(int(copies[rows][other].sum()))
-                for to in ids[rows][other].tolist():
-                    p, q = root(rep), root(to)
-                    if p != q:
-                        parent[max(p, q)] = min(p, q)
-                        edges_a.append(rep)
-                        edges_b.append(to)
-        n, m = len(reps), len(edges_a)
-        return pa.table(
-            [pa.array(reps + [None] * m, pa.int64()), pa.array(links + [None] * m, pa.int64()), pa.array([None] * n + edges_a, pa.int64()), pa.array([None] * n + edges_b, pa.int64())], ["rep", "links", "a", "b"]
+    """Answers of a partition sorted by (shard, part, kind): a graph row, then the queries put to it."""
+
+    def answers(graph: tuple, state: dict, reps: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+        ids, copies, x, hierarchy = graph
+        parent: dict[int, int] = state["parent"]
+
+        def root(v: int) -> int:
+            while (up := parent.get(v, v)) != v:
+                parent[v] = parent.get(up, up)
+                v = up
+            return v
+
+        found, links, edges_a, edges_b = [], [], [], []
+        for rep, rows in zip(reps.tolist(), linked(hierarchy, x, q, s, state["counter"]), strict=True):
+            rows = rows[ids[rows] != rep]
+            if not len(rows):
+                continue
+            found.append(rep)
+            links.append(int(copies[rows].sum()))
+            for to in ids[rows].tolist():
+                u, v = root(rep), root(to)
+                if u != v:
+                    parent[max(u, v)] = min(u, v)
+                    edges_a.append(rep)
+                    edges_b.append(to)
+        n, m = len(found), len(edges_a)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(found + [None] * m, pa.int64()), pa.array(links + [None] * m, pa.int64()), pa.array([None] * n + edges_a, pa.int64()), pa.array([None] * n + edges_b, pa.int64())], ["rep", "links", "a", "b"]
         )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph, state, key = None, {}, None
+        for batch in batches:
+            shards, parts = batch.column("shard").to_numpy(), batch.column("part").to_numpy()
+            heads = np.flatnonzero(batch.column("kind").to_numpy() == 0).tolist()
+            for start, end in zip([-1, *heads], [*heads, batch.num_rows], strict=True):
+                if start >= 0:
+                    graph, state, key = pickle.loads(batch.column("graph")[start].as_py()), {"parent": {}, "counter": {}}, (shards[start], parts[start])
+                if key is not None:  # queries behind those of this graph ask a shard that no vector fell into
+                    end = start + 1 + int(((shards[start + 1 : end] == key[0]) & (parts[start + 1 : end] == key[1])).sum())
+                    for a in range(start + 1, end, s.piece):
+                        some = batch.slice(a, min(s.piece, end - a))
+                        yield answers(graph, state, some.column("rep").to_numpy(zero_copy_only=False).astype(np.int64), _matrix(some))
+
     return run
 
 
+def _alone(rows: DataFrame) -> DataFrame:
+    """The result where no vector can link."""
+    return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+
+
 def near_duplicates(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding).
 
     Vectors link when their cosine is ``s.cosine`` or more.  Vectors that are null, empty or zero, or hold
     null or non-finite components, link with nothing and are their own component.  Vectors of equal
-    direction bits are one class; each counts the others as links.  All vectors must have one length.
-    Extra columns are ignored; an empty table gives an empty result.
+    direction bits are one class; each counts the others as links.  Vectors of different lengths are
+    an error.  Rows without a vec_id link with nothing, have no component and are kept; rows that share
+    one are vectors of their own with one component.  Extra columns are ignored; an empty table gives
+    an empty result.
     """
-    scratch = Scratch(vectors.sparkSession, "hnsw")
+    spark = vectors.sparkSession
+    scratch = Scratch(spark, "hnsw")
     rows = scratch.save(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_units, "vec_id long, unit binary, fp1 long, fp2 long"), "units")
-    classes = rows.filter("unit is not null").groupBy("fp1", "fp2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    reps = classes.join(rows.select(F.col("vec_id").alias("rep"), "unit"), "rep").dropDuplicates(["rep"])
+    classes = rows.filter("unit is not null and vec_id is not null").groupBy("fp1", "fp2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    reps = classes.join(rows.select(F.col("vec_id").alias("rep"), "fp1", "fp2", "unit"), ["rep", "fp1", "fp2"]).dropDuplicates(["fp1", "fp2"])
     reps = scratch.save(reps, "classes")
     n = reps.count()
-    n_shards, n_groups = max(s.shards, -(-n // s.shard_vectors)), max(1, -(-n // s.query_vectors))
+    if not n:
+        return _alone(rows)
+    dim = reps.select(F.max(F.octet_length("unit")).alias("bytes")).first()["bytes"] // 8
+    n_shards = max(s.shards, -(-n // s.shard_size(dim)))
+    n_parts = max(1, -(-n // s.query_vectors), -(-2 * spark.sparkContext.defaultParallelism // n_shards))
     placed = reps.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(n_shards)))
     graphs = scratch.save(placed.select("shard", "rep", "copies", "unit").groupBy("shard").applyInArrow(_build(s), "shard long, graph binary"), "graphs")
 
-    asked = graphs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1)))).groupBy("shard", "part")
-    queries = reps.select("rep", "unit", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(n_groups)).cast("int").alias("part"))
-    queries = queries.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long")))).groupBy("shard", "part")
-    found = scratch.save(asked.cogroup(queries).applyInArrow(_query(s), _FOUND), "found")
+    none = lambda kind: F.lit(None).cast(kind)
+    asked = graphs.select("shard", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("part"), F.lit(0).alias("kind"), "graph", none("long").alias("rep"), none("binary").alias("unit"))
+    part = F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(n_parts)).cast("int").alias("part")
+    shard = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))).alias("shard")
+    queries = reps.select(shard, part, F.lit(1).alias("kind"), none("binary").alias("graph"), "rep", "unit")
+    met = asked.unionByName(queries).repartition(n_shards * n_parts, "shard", "part").sortWithinPartitions("shard", "part", "kind")
+    found = scratch.save(met.mapInArrow(_query(s), _FOUND), "found")
     scratch.drop("graphs")
 
     of = components(scratch, found.filter("a is not null").select("a", "b"), "components")
@@ -355,7 +401,8 @@ def near_duplicates(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
     by_class = classes.join(counts, "rep", "left").join(of.withColumnRenamed("node", "rep"), "rep", "left")
     by_class = by_class.select("fp1", "fp2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("vec_id", "fp1", "fp2").join(by_class, ["fp1", "fp2"], "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    out = scratch.save(out.withColumn("kept", F.col("vec_id") == F.col("component_id")), "result")
+    named = F.col("vec_id").isNotNull()
+    out = out.select("vec_id", F.when(named, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), F.when(named, F.coalesce("component_id", "vec_id")).alias("component_id"))
+    out = scratch.save(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), "result")
     scratch.drop("units", "classes", "found")
     return out

@@ -1,66 +1,5 @@
-"""Intermediate tables in the folder that all executors share.
+"""Intermediate tables of the training-data operators: the library's store."""
 
-Lineage is cut by writing Parquet to the folder named in ``spark.checkpoint.dir`` and reading it
-back, so a lost executor costs one re-read and never a recomputation of earlier stages.
-"""
+from hexflow.store import Scratch, shared_dir
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-from hexflow.session import ship_package
-
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where it is unset, a local session gets a folder of its own and a cluster an error."""
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not path:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="hexflow-"))
-        path = sc.getCheckpointDir()
-    return path.rstrip("/")
-
-
-class Scratch:
-    """Tables of one run under a folder of its own; ``drop`` removes what is no longer read."""
-
-    def __init__(self, spark: SparkSession, label: str):
-        ship_package(spark)
-        self.spark = spark
-        self.base = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-
-    def save(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-        """Writes and rereads ``df``; its shuffle files go once it is written, since nothing reads them again."""
-        path = f"{self.base}/{name}"
-        kept = self.spark.conf.get(_CLEANUP, None)
-        self.spark.conf.set(_CLEANUP, "true")
-        try:
-            self._write(df, path, partition_by)
-        finally:
-            if kept is None:
-                self.spark.conf.unset(_CLEANUP)
-            else:
-                self.spark.conf.set(_CLEANUP, kept)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def _write(self, df: DataFrame, path: str, partition_by: list[str] | None) -> None:
-        writer = df.write.mode("overwrite").option("compression", "zstd")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
-
-    def path(self, name: str) -> str:
-        return f"{self.base}/{name}"
-
-    def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["Scratch", "shared_dir"]

@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -146,18 +147,17 @@ def _hits(rows: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
 
 def _smallest(rows: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
     """To every chunk, the smallest document of each of its stretches, in the chunk's order."""
-    parts = [(c, *_unpack(p, "u8", "i8")) for c, p in rows]
-    distinct, inverse = np.unique(np.concatenate([v for _, v, _ in parts]), return_inverse=True)
-    low = np.full(len(distinct), np.iinfo(np.int64).max)
-    np.minimum.at(low, inverse, np.concatenate([d for *_, d in parts]))
+    parts = [(c, *_unpack(p, "u8", "u8", "i8")) for c, p in rows]
+    values, checks, docs = (np.concatenate([x[k] for x in parts]) for k in (1, 2, 3))
+    _, _, inverse, low = _distinct_stretches(values, checks, docs)
     at = 0
-    for chunk, v, _ in parts:
+    for chunk, v, *_ in parts:
         yield chunk, _pack(low[inverse[at : at + len(v)]])
         at += len(v)
 
 
 def _stretches(words: Words, ids: np.ndarray, replies: list[tuple[int, bytes]], window: int, anchor: int, bits: int):
-    """Starts of the windows around hits, their hashes and their documents' ids."""
+    """Starts of the windows around hits, two hashes of each and their documents' ids."""
     h = words.hashes()
     g = ngram_hashes(h, anchor)
     shift = np.uint64(64 - bits - 40)
@@ -174,14 +174,24 @@ def _stretches(words: Words, ids: np.ndarray, replies: list[tuple[int, bytes]],
     start = np.arange(len(ok))
     near = count[start + window - anchor + 1] > count[start]
     at = np.flatnonzero(ok & near)
-    return at, ngram_hashes(h, window)[at], ids[_owners(words)[at]]
+    return at, ngram_hashes(h, window)[at], ngram_hashes(words.hashes(1), window)[at], ids[_owners(words)[at]]
 
 
-def _distinct_stretches(values: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    distinct, inverse = np.unique(values, return_inverse=True)
-    low = np.full(len(distinct), np.iinfo(np.int64).max)
-    np.minimum.at(low, inverse, docs)
-    return distinct, inverse, low
+def _distinct_stretches(values: np.ndarray, checks: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of hashes in order, each stretch's place among them, and the smallest document of each."""
+    order = np.lexsort((checks, values))
+    values, checks = values[order], checks[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (values[1:] != values[:-1]) | (checks[1:] != checks[:-1])
+    first = np.flatnonzero(new)
+    inverse = np.empty(len(order), dtype=np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return values[first], checks[first], inverse, np.minimum.reduceat(docs[order], first) if len(first) else docs[:0]
+
+
+def _ids(docs: pa.RecordBatch) -> np.ndarray:
+    """The documents' ids, the largest number for those without: a text without an id is never the first to hold a window, and keeps none that another holds."""
+    return pc.fill_null(docs.column("doc_id"), np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
 
 
 def _replies(row: pa.Scalar) -> list[tuple[int, bytes]]:
@@ -194,13 +204,13 @@ def _extend(window: int, anchor: int, bits: int):
             for chunk, docs, i in _chunk_rows(batch):
                 replies = _replies(batch.column("hits")[i])
                 words = split_words(docs.column("text"))
-                _, values, owners = _stretches(words, docs.column("doc_id").to_numpy(), replies, window, anchor, bits)
+                _, values, checks, owners = _stretches(words, _ids(docs), replies, window, anchor, bits)
                 if not len(values):
                     continue
-                distinct, _, low = _distinct_stretches(values, owners)
+                distinct, checks, _, low = _distinct_stretches(values, checks, owners)
                 lo, hi = _by_bucket(distinct, bits)
                 full = np.flatnonzero(hi > lo)
-                payloads = [_pack(distinct[lo[b] : hi[b]], low[lo[b] : hi[b]]) for b in full]
+                payloads = [_pack(distinct[lo[b] : hi[b]], checks[lo[b] : hi[b]], low[lo[b] : hi[b]]) for b in full]
                 yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(np.full(len(full), chunk)), pa.array(payloads, pa.binary())], ["bucket", "chunk", "payload"])
 
     return run
@@ -211,11 +221,11 @@ def _remove(window: int, anchor: int, bits: int):
         for batch in batches:
             for _, docs, i in _chunk_rows(batch):
                 words = split_words(docs.column("text"))
-                ids = docs.column("doc_id").to_numpy()
+                ids = _ids(docs)
                 cover = np.zeros(len(words.codes) + 1, dtype=np.int64)
                 if found := batch.column("hits")[i].as_py():
-                    at, values, owners = _stretches(words, ids, [(x["bucket"], x["payload"]) for x in found], window, anchor, bits)
-                    _, inverse, _ = _distinct_stretches(values, owners)
+                    at, values, checks, owners = _stretches(words, ids, [(x["bucket"], x["payload"]) for x in found], window, anchor, bits)
+                    *_, inverse, _ = _distinct_stretches(values, checks, owners)
                     low = np.concatenate([_unpack(p, "i8")[0] for _, p in sorted(_replies(batch.column("lows")[i]))] or [np.empty(0, np.int64)])
                     gone = at[low[inverse] < owners]
                     np.add.at(cover, gone, 1)
@@ -238,13 +248,14 @@ def _remove(window: int, anchor: int, bits: int):
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, chunk_bytes: int = 2 << 20) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_text, removed_spans) for every row of ``docs`` (doc_id not null).
+    """(doc_id, n_words, n_removed, kept_text, removed_spans) for every row of ``docs`` (doc_id, text).
 
     Words are cut at ASCII white space and not changed.  A word goes if a window of ``window``
     words over it also starts in a document with a smaller doc_id; windows are judged on the input.
-    Repeats inside one document alone stay, and so do those among rows that share a doc_id.  A null or empty text has no words and gives an empty
+    Repeats inside one document alone stay, and so do those among rows that share a doc_id.  Rows
+    without a doc_id come after all others.  A null or empty text has no words and gives an empty
     kept text; texts shorter than a window are kept.  Extra columns are ignored; an empty table
-    gives an empty result.  Stretches are compared by 64-bit hashes of their word hashes.
+    gives an empty result.  Stretches are compared by two 64-bit hashes of differently seeded word hashes.
     """
     scratch = Scratch(docs.sparkSession, "substring")
     anchor = (window + 1) // 2

@@ -50,7 +50,7 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return toxicity.classify(docs.select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
+    return toxicity.classify(docs.select("doc_id", "text", "lang"), labels).select("doc_id", "held_out", "score", "predicted", "threshold", "rejected")
 
 
 def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,6 @@ phrases are found exactly beside that.
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -102,8 +101,8 @@ def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     labels[d].add(label)
             none = count == 0
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(words.counts), pa.array(count), pa.array(first, mask=none), pa.array(last, mask=none), pa.array([sorted(x) for x in labels], pa.list_(pa.string()))],
-                ["doc_id", "n_words", "n_base", "first_word", "last_word", "base"],
+                [part.column("doc_id"), part.column("key"), pa.array(words.counts), pa.array(count), pa.array(first, mask=none), pa.array(last, mask=none), pa.array([sorted(x) for x in labels], pa.list_(pa.string()))],
+                ["doc_id", "key", "n_words", "n_base", "first_word", "last_word", "base"],
             )
 
 
@@ -114,8 +113,8 @@ def _grams(k: int):
                 words = license_words(part.column("text"))
                 g, at = ngram_hashes(words.hashes(), k), np.flatnonzero(within(words.starts, k))
                 owner = np.repeat(np.arange(part.num_rows), words.counts)[at]
-                ids = part.column("doc_id").take(pa.array(owner))
-                yield pa.RecordBatch.from_arrays([ids, pa.array((at - words.starts[owner]).astype(np.int32)), pa.array(g[at].view(np.int64))], ["doc_id", "pos", "gram"])
+                ids, keys = (part.column(c).take(pa.array(owner)) for c in ("doc_id", "key"))
+                yield pa.RecordBatch.from_arrays([ids, keys, pa.array((at - words.starts[owner]).astype(np.int32)), pa.array(g[at].view(np.int64))], ["doc_id", "key", "pos", "gram"])
 
     return run
 
@@ -129,46 +128,103 @@ def template_positions(spark, s: Settings) -> DataFrame:
     return spark.createDataFrame(rows, "gram long, template int, at int, template_words int")
 
 
+def common_subsequence(words: list[str], wanted: list[str]) -> list[int]:
+    """Places in ``words`` of a longest common subsequence with ``wanted``, the earliest words of those that end last."""
+    lengths = [[0] * (len(wanted) + 1)]
+    for w in words:
+        above, row = lengths[-1], [0]
+        for j, v in enumerate(wanted):
+            row.append(above[j] + 1 if w == v else max(above[j + 1], row[j]))
+        lengths.append(row)
+    out, i, j = [], len(words), len(wanted)
+    while i and j:
+        if words[i - 1] == wanted[j - 1]:
+            i, j = i - 1, j - 1
+            out.append(i)
+        elif lengths[i - 1][j] >= lengths[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return out[::-1]
+
+
 def _verified(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = _template_words()
         for batch in batches:
             out: list[tuple] = []
-            for doc, t, first, last, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "template", "first", "last", "text")), strict=True):
+            for doc, key, t, first, last, diagonal, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "template", "first", "last", "diagonal", "text")), strict=True):
                 label, wanted = templates[t]
                 words = folded(pa.array([text], pa.string()))[0].as_py().split()
-                a, z = max(0, first - s.slack), min(len(words), last + s.k + s.slack)
-                same = [m for m in difflib.SequenceMatcher(None, words[a:z], wanted, autojunk=False).get_matching_blocks() if m.size]
-                share = sum(m.size for m in same) / len(wanted)
-                if share >= s.share:
-                    out.append((doc, label, share, a + same[0].a, a + same[-1].a + same[-1].size))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "label", "share", "first_word", "end_word"])
+                # From where the first diagonal lays the template's begin to where the last one lays its end.
+                a, z = max(0, first - s.slack), min(len(words), max(last + s.k, diagonal + len(wanted)) + s.slack)
+                same = common_subsequence(words[a:z], wanted)
+                if same and len(same) >= s.share * len(wanted):
+                    out.append((doc, key, label, len(same) / len(wanted), a + same[0], a + same[-1] + 1))
+            cols = list(zip(*out, strict=True)) or [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "key", "label", "share", "first_word", "end_word"])
 
     return run
 
 
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text's spans (in a partition sorted by text and place) the best, and of those that don't overlap it the best, and so on.
+
+    Only a chain of overlapping spans is held at a time.
+    """
+    names = ["doc_id", "key", "label", "share", "first_word", "end_word"]
+    held: list[dict] = []
+
+    def chosen() -> list[dict]:
+        kept: list[dict] = []
+        for r in sorted(held, key=lambda r: (-r["share"], r["first_word"] - r["end_word"], r["label"], r["first_word"])):
+            if all(r["first_word"] >= k["end_word"] or r["end_word"] <= k["first_word"] for k in kept):
+                kept.append(r)
+        held.clear()
+        return kept
+
+    for batch in batches:
+        out: list[dict] = []
+        for r in batch.select(names).to_pylist():
+            if held and ((held[0]["doc_id"], held[0]["key"]) != (r["doc_id"], r["key"]) or r["first_word"] >= max(k["end_word"] for k in held)):
+                out += chosen()
+            held.append(r)
+        yield pa.RecordBatch.from_pylist(out, batch.schema)
+        schema = batch.schema
+    if held:
+        yield pa.RecordBatch.from_pylist(chosen(), schema)
+
+
 def spans(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(doc_id, label, share, first_word, end_word): verified template spans of every text."""
+    """(doc_id, key, label, share, first_word, end_word): verified template spans of every distinct text.
+
+    ``key`` hashes doc_id and text, so rows without a doc_id and rows that share one have spans of
+    their own.  Templates of one family share most words: of spans that overlap, the one that holds
+    most of its template stays, and all that are disjoint from those that stay.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "licenses")
-    texts = docs.select("doc_id", "text")
-    hits = texts.mapInArrow(_grams(s.k), "doc_id long, pos int, gram long").join(F.broadcast(template_positions(spark, s)), "gram")
-    votes = hits.withColumn("diagonal", F.col("pos") - F.col("at")).groupBy("doc_id", "template", "template_words", "diagonal")
-    votes = votes.agg(F.count("*").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"))
-    by = W.partitionBy("doc_id", "template").orderBy("diagonal")
+    texts = docs.select("doc_id", _key().alias("key"), "text")
+    hits = texts.mapInArrow(_grams(s.k), "doc_id long, key long, pos int, gram long").join(F.broadcast(template_positions(spark, s)), "gram")
+    place = ["doc_id", "key", "template"]
+    votes = hits.withColumn("diagonal", F.col("pos") - F.col("at")).groupBy(*place, "diagonal")
+    votes = votes.agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+    by = W.partitionBy(*place).orderBy("diagonal")
     votes = votes.withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(by) > s.slack).cast("int")).withColumn("group", F.sum(F.coalesce("new", F.lit(0))).over(by))
-    merged = votes.groupBy("doc_id", "template", "template_words", "group").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
-    likely = merged.filter(F.col("votes") * 2 >= (F.col("template_words") - (s.k - 1)) * F.lit(s.share) * F.lit(0.5))
-    likely = scratch.save(likely.select("doc_id", "template", "first", "last"), "likely")
-    found = likely.join(texts, "doc_id").select("doc_id", "template", "first", "last", "text").mapInArrow(_verified(s), "doc_id long, label string, share double, first_word long, end_word long")
-    # Templates of one family share most words: of spans that overlap, the one that holds most of its template stays.
-    in_order = W.partitionBy("doc_id").orderBy("first_word", "end_word", "label")
-    ended = F.max("end_word").over(in_order.rowsBetween(W.unboundedPreceding, -1))
-    found = found.withColumn("apart", (F.col("first_word") >= F.coalesce(ended, F.lit(0))).cast("int")).withColumn("place", F.sum("apart").over(in_order))
-    best = W.partitionBy("doc_id", "place").orderBy(F.col("share").desc(), (F.col("end_word") - F.col("first_word")).desc(), "label", "first_word")
-    return found.withColumn("rank", F.row_number().over(best)).filter("rank = 1").select("doc_id", "label", "share", "first_word", "end_word")
+    merged = votes.groupBy(*place, "group").agg(F.least(F.min("first"), F.min("diagonal")).alias("first"), F.max("last").alias("last"), F.max("diagonal").alias("diagonal"))
+    likely = scratch.save(merged.select(*place, "first", "last", "diagonal"), "likely")
+    asked = likely.select(F.col("doc_id").alias("d"), F.col("key").alias("k")).distinct()
+    whole = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left_semi").dropDuplicates(["doc_id", "key"])
+    whole = whole.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "text")
+    found = likely.join(whole, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select(*place, "first", "last", "diagonal", "text")
+    kinds = "doc_id long, key long, label string, share double, first_word long, end_word long"
+    found = found.mapInArrow(_verified(s), kinds)
+    return found.repartition("doc_id", "key").sortWithinPartitions("doc_id", "key", "first_word", "end_word", "label").mapInArrow(_apart, kinds)
+
+
+def _key():
+    return F.xxhash64("doc_id", "text")
 
 
 def scan(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -177,13 +233,13 @@ def scan(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     Words are runs of a-z (A-Z lower-cased), 0-9 and characters beyond ASCII; a null text has none.
     ``n_base`` counts all places of the fixed phrases; ``labels`` adds those of verified template
     spans; ``score`` is 1 with a phrase, otherwise the best verified share, 0 without any.  Rows
-    that share a doc_id share their template labels.  Extra columns are ignored; an empty table
-    gives an empty result.
+    without a doc_id and rows that share one are scanned each.  Extra columns are ignored; an empty
+    table gives an empty result.
     """
     ship_package(docs.sparkSession)
-    base = docs.select("doc_id", "text").mapInArrow(_phrases, "doc_id long, n_words long, n_base long, first_word long, last_word long, base array<string>")
-    found = spans(docs, s).groupBy("doc_id").agg(F.collect_set("label").alias("found"), F.max("share").alias("share"))
-    out = base.join(found, "doc_id", "left")
+    base = docs.select("doc_id", _key().alias("key"), "text").mapInArrow(_phrases, "doc_id long, key long, n_words long, n_base long, first_word long, last_word long, base array<string>")
+    found = spans(docs, s).groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_set("label").alias("found"), F.max("share").alias("share"))
+    out = base.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
     labels = F.array_sort(F.array_union("base", F.coalesce("found", F.expr("cast(array() as array<string>)"))))
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0)))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"))

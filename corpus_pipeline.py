@@ -1,7 +1,11 @@
 """Corpus pipeline: documents pass five operators; every stage is written and read again.
 
 Each stage takes (spark, docs, sf_dir) and returns the columns of ``documents``, the last one the
-documents' places in the token store.
+documents' places in the token store.  Null and empty texts pass every stage: they score like other
+texts, are near duplicates of nothing, hold no benchmark item, keep one copy and become the end id
+alone.  Rows without a doc_id pass too; rows that share one are judged together where a stage
+removes or repeats by doc_id.  Of near duplicates the smallest doc_id stays, so there are no ties.
+An empty table gives an empty result, and columns beyond those of ``documents`` are carried along.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents whose score reaches their language's threshold."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).filter("not rejected").select(*docs.columns)
+    return toxicity.without_toxic(docs, model)
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +56,9 @@ STAGES: list[tuple[str, Stage]] = [
     ("token_store", token_stage),
 ]
 
-#: SQL expresses neither the classifier nor the tokenizer; tests/llm compares the stages with brute-force versions.
+#: SQL expresses neither the classifier nor the tokenizer.  tests/llm compares every stage with a version that
+#: takes no part of its method: direct convolution, all pairs of shingle sets, all pairs of pieces and passages,
+#: SQL for the mix, and whole texts through the tokenizer.
 ORACLE_SQL: str | None = None
 
 

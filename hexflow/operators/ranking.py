@@ -130,6 +130,11 @@ def stratified(players: DataFrame, share: float, seed: int = SEED) -> DataFrame:
     return ranked.filter(F.col("rank") <= F.ceil(F.col("n") * F.lit(share))).drop("rank", "n")
 
 
+def sorted_groups(df: DataFrame) -> DataFrame:
+    """Whole groups per partition, their rows in order: what a trainer that reads groups one after another needs."""
+    return df.repartition("group_id").sortWithinPartitions("group_id", "hex_id")
+
+
 def group_sizes(df: DataFrame) -> DataFrame:
     return df.groupBy("group_id").agg(F.count("*").alias("n_rows"))
 

@@ -158,6 +158,13 @@ def hex_archetype_counts(spark, d):
     return features.hex_archetype_counts(tables.events(spark, d))
 
 
+@query(sql(f"SELECT e.hex_id, p.archetype, {n('count(*)', 'n_events')}, {n('count(DISTINCT e.player_id)', 'n_players')} FROM m_events e JOIN m_players p USING (player_id) GROUP BY ALL"))
+def hex_archetype_join(spark, d):
+    """The archetype comes from the table of players, as it does where events carry none."""
+    ev = tables.events(spark, d).drop("archetype").join(tables.players(spark, d).select("player_id", "archetype"), "player_id")
+    return features.hex_archetype_counts(ev)
+
+
 @query(sql("SELECT * FROM hex_features", PAST, HEX_FEATURES))
 def hex_features(spark, d):
     return features.hex_features(tables.events(spark, d), CUTOFF)
@@ -765,6 +772,17 @@ def gmm(spark, d):
     return clusters.gaussian_mixture(reduced, 5).select("vec_id", "label", "gmm_cluster", vector_to_array("gmm_probability").alias("probability"))
 
 
+@query(f"""WITH x AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+ s AS (SELECT i, avg(v) AS m, stddev_pop(v) AS d FROM x GROUP BY 1) SELECT CAST(count(*) AS INT) AS components, {r('sum(CASE WHEN d = 0 THEN 0 ELSE 1 END) / count(*)', 'scaled_variance')}, {r('1.0', 'explained')} FROM s""")
+def pca_total_variance(spark, d):
+    """All components together explain everything that standardising left: one per coordinate that varies."""
+    points = _vectors(spark, d)
+    dim = points.select(F.size("embedding").alias("n")).first()["n"]
+    total = clusters.explained_variance(points, dim).agg(F.sum("share").alias("explained"), F.max("component").alias("components"))
+    each = points.select("vec_id", F.posexplode("embedding").alias("at", "v")).groupBy("at").agg(F.var_pop("v").alias("v")).agg(F.avg("v").alias("scaled_variance"))
+    return total.crossJoin(each).select("components", "scaled_variance", "explained")  # one row each
+
+
 @query()
 def pca(spark, d):
     point = vector_to_array("pca")

@@ -120,7 +120,11 @@ def players(spark: SparkSession, c: Config = Config()) -> DataFrame:
 
 
 def _poisson(u: Column, mean: Column, most: int = 400) -> Column:
-    """Inverse of the Poisson distribution by a running sum of its terms; large means by their normal limit."""
+    """Inverse of the Poisson distribution by a running sum of its terms.
+
+    The sum reaches eight deviations beyond the mean; ``most`` would cut means above 268, and the
+    generator's largest is twice the largest rate, 160.
+    """
     step = lambda s, k: F.struct((s["p"] * mean / k).alias("p"), (s["sum"] + s["p"] * mean / k).alias("sum"), (s["n"] + F.when(s["sum"] < u, 1).otherwise(0)).alias("n"))
     start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("sum"), F.lit(0).alias("n"))
     return F.aggregate(F.sequence(F.lit(1), F.least(F.ceil(mean + 8 * F.sqrt(mean) + 8), F.lit(most)).cast("int")), start, step, lambda s: s["n"])

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from hexflow.functions import geo, time
 
+# The archetypes' names.
 ARCHETYPES = ("commuter", "casual_evening", "weekend_explorer", "hardcore_raider", "lunch_player", "lunch_commuter", "weekend_homebody", "morning_player", "night_owl")
 
 EVENTS = T.StructType(

@@ -252,3 +252,23 @@ def test_distance_to_nowhere_is_null(spark):
 
     df = spark.createDataFrame([(1.0, 2.0), (None, 2.0), (1.0, None)], "lat double, lon double")
     assert [r.km is None for r in df.select(geo.haversine_km(F.lit(1.0), F.lit(2.5), F.col("lat"), F.col("lon")).alias("km")).collect()] == [False, True, True]
+
+
+def test_homes_at_the_origin_only_if_asked_for(spark):
+    rows = spark.createDataFrame([("p", "r8:0:0"), ("q", "r8:0:0")], "player_id string, hex_id string")
+    visits = spark.createDataFrame([("p", "r8:0:0", 3)], "player_id string, hex_id string, n_visits long")
+    homes = spark.createDataFrame([("p", 30.0, -110.0)], "player_id string, home_lat double, home_lon double")
+    plain = {r.player_id: r for r in ranking.add_pair_features(rows, visits, homes).collect()}
+    legacy = {r.player_id: r for r in ranking.add_pair_features(rows, visits, homes, legacy_origin_fallback=True).collect()}
+    assert plain["p"].pair_past_visits == 3 and plain["q"].pair_past_visits == 0 and plain["q"].pair_distance_from_home_km is None
+    assert legacy["q"].pair_distance_from_home_km > 5000 and legacy["p"] == plain["p"]
+
+
+def test_sorted_groups(spark):
+    df = spark.createDataFrame([(k % 7, f"c{k * 31 % 17:02d}") for k in range(100)], "group_id long, hex_id string").repartition(5)
+    seen = set()
+    for part in ranking.sorted_groups(df).rdd.glom().collect():
+        rows = [(r.group_id, r.hex_id) for r in part]
+        assert rows == sorted(rows) and not seen & {g for g, _ in rows}
+        seen |= {g for g, _ in rows}
+    assert len(seen) == 7

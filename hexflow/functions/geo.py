@@ -40,25 +40,37 @@ def km_to_degrees_lon(km: Column, lat: Column) -> Column:
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     half = lambda a, b: F.pow(F.sin((F.radians(b) - F.radians(a)) / 2), F.lit(2.0))
     a = half(lat1, lat2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lon1, lon2)
-    return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))  # least() would make a null 1
+    return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.least(a, 0.0 * a + 1.0)))  # against a plain 1 a null would be 1
 
 
 def _round(v: Column) -> Column:
     return F.floor(v + 0.5)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: the optimiser would write it out at every place that names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def hex_cell(lat: Column, lon: Column, resolution: int = BASE_RESOLUTION) -> Column:
     """Id of the cell that holds a point; null for a null coordinate."""
     s = F.lit(edge_km(resolution))
     x = (lon - F.lit(CENTRE[1])) * KM_PER_DEGREE_LON
     y = (lat - F.lit(CENTRE[0])) * KM_PER_DEGREE
-    qf, rf = (F.lit(math.sqrt(3) / 3) * x - y / 3.0) / s, (F.lit(2.0 / 3.0) * y) / s
-    zf = -qf - rf
-    q, r, z = _round(qf), _round(rf), _round(zf)
-    dq, dr, dz = F.abs(q - qf), F.abs(r - rf), F.abs(z - zf)
-    q_off, r_off = (dq > dr) & (dq > dz), ~((dq > dr) & (dq > dz)) & (dr > dz)
-    q_, r_ = F.when(q_off, -r - z).otherwise(q), F.when(r_off, -q - z).otherwise(r)
-    return F.concat(F.lit(f"r{resolution}:"), q_.cast("long").cast("string"), F.lit(":"), r_.cast("long").cast("string"))
+    axial = F.struct(((F.lit(math.sqrt(3) / 3) * x - y / 3.0) / s).alias("qf"), ((F.lit(2.0 / 3.0) * y) / s).alias("rf"))
+
+    def rounded(p: Column) -> Column:
+        zf = -p["qf"] - p["rf"]
+        q, r, z = _round(p["qf"]), _round(p["rf"]), _round(zf)
+        return F.struct(q.alias("q"), r.alias("r"), z.alias("z"), F.abs(q - p["qf"]).alias("dq"), F.abs(r - p["rf"]).alias("dr"), F.abs(z - zf).alias("dz"))
+
+    def named(c: Column) -> Column:
+        q_off = (c["dq"] > c["dr"]) & (c["dq"] > c["dz"])
+        q = F.when(q_off, -c["r"] - c["z"]).otherwise(c["q"])
+        r = F.when(~q_off & (c["dr"] > c["dz"]), -c["q"] - c["z"]).otherwise(c["r"])
+        return F.concat(F.lit(f"r{resolution}:"), q.cast("long").cast("string"), F.lit(":"), r.cast("long").cast("string"))
+
+    return _let(_let(axial, rounded), named)
 
 
 def hex_centroid(cell: Column) -> tuple[Column, Column]:

@@ -48,6 +48,7 @@ def drawn_queries(visited: DataFrame, ratio: int = NEG_RATIO, most: int = MAX_PO
 
     Visits are dealt by player once; a query's cells and a player's universe, both as long as the
     player has cells, are then arrays of one row each, so candidates are never rows of a shuffle.
+    (Exploded by the outer form: the other would draw twice, once to tell whether the array is empty.)
     """
     dealt = visited.select(*KEY, "hex_id", "n_visits").repartition("player_id")
     seen = F.sort_array(F.collect_list(F.struct((-F.col("n_visits")).alias("n"), "hex_id")))
@@ -61,18 +62,27 @@ def drawn_queries(visited: DataFrame, ratio: int = NEG_RATIO, most: int = MAX_PO
 
 def negatives(visited: DataFrame, **options) -> DataFrame:
     """(player_id, day_of_week, period, hex_id): up to ``ratio`` sampled cells for each positive of a query."""
-    return drawn_queries(visited, **options).select(*KEY, F.explode("drawn").alias("hex_id"))
+    return drawn_queries(visited, **options).select(*KEY, F.explode_outer("drawn").alias("hex_id")).filter("hex_id is not null")
+
+
+def query_ids(visited: DataFrame, most: int = MAX_POSITIVES, exclude_all_visited: bool = False) -> DataFrame:
+    """(player_id, day_of_week, period, group_id) of the queries that leave a cell of their player to draw, numbered in the keys' order."""
+    seen = visited.groupBy(*KEY).agg(F.count("*").alias("n"))
+    known = features.universe(visited).groupBy("player_id").agg(F.count("*").alias("cells"))
+    taken = F.col("n") if exclude_all_visited else F.least("n", F.lit(most))
+    return order.numbered(seen.join(known, "player_id").filter(F.col("cells") > taken).select(*KEY), KEY, "group_id")
 
 
 def pairs(visited: DataFrame, ratio: int = NEG_RATIO, most: int = MAX_POSITIVES, seed: int = SEED, exclude_all_visited: bool = False) -> DataFrame:
     """(player_id, day_of_week, period, hex_id, label, group_id); queries without a negative are left out, ids follow the keys' order."""
-    queries = drawn_queries(visited, ratio, most, seed, exclude_all_visited).filter(F.size("drawn") > 0)
-    numbered = order.numbered(queries, KEY, "group_id")
+    visited = Scratch(visited.sparkSession, "pairs").save(visited.select(*KEY, "hex_id", "n_visits"), "visits")
+    ids = query_ids(visited, most, exclude_all_visited)
+    queries = drawn_queries(visited, ratio, most, seed, exclude_all_visited).join(ids, KEY)
 
     def labelled(cells: str, label: int) -> Column:
         return F.transform(cells, lambda h: F.struct(h.alias("hex_id"), F.lit(label).alias("label")))
 
-    return numbered.select(*KEY, "group_id", F.explode(F.concat(labelled("top", 1), labelled("drawn", 0))).alias("x")).select(*KEY, "x.hex_id", "x.label", "group_id")
+    return queries.select(*KEY, "group_id", F.explode_outer(F.concat(labelled("top", 1), labelled("drawn", 0))).alias("x")).select(*KEY, "x.hex_id", "x.label", "group_id")
 
 
 def train_test(events: DataFrame, cutoff: str, **options) -> tuple[DataFrame, DataFrame]:

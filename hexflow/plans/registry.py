@@ -281,7 +281,7 @@ def topk_positives(spark, d):
 
 @query(sql(f"SELECT {KEYS}, group_id FROM pairs_ids", PAST, _P))
 def query_ids(spark, d):
-    return ranking.pairs(features.visits(past(spark, d))).select(*ranking.KEY, "group_id").distinct()
+    return ranking.query_ids(features.visits(past(spark, d)))
 
 
 @query(sql(f"SELECT {KEYS}, hex_id FROM pairs_cand", PAST, _P))

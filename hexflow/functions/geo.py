@@ -60,9 +60,8 @@ def hex_cell(lat: Column, lon: Column, resolution: int = BASE_RESOLUTION) -> Col
     axial = F.struct(((F.lit(math.sqrt(3) / 3) * x - y / 3.0) / s).alias("qf"), ((F.lit(2.0 / 3.0) * y) / s).alias("rf"))
 
     def rounded(p: Column) -> Column:
-        zf = -p["qf"] - p["rf"]
-        q, r, z = _round(p["qf"]), _round(p["rf"]), _round(zf)
-        return F.struct(q.alias("q"), r.alias("r"), z.alias("z"), F.abs(q - p["qf"]).alias("dq"), F.abs(r - p["rf"]).alias("dr"), F.abs(z - zf).alias("dz"))
+        q, r, z = _round(p["qf"]), _round(p["rf"]), _round(-p["qf"] - p["rf"])  # "dz" in this order of additions decides points on an edge
+        return F.struct(q.alias("q"), r.alias("r"), z.alias("z"), F.abs(q - p["qf"]).alias("dq"), F.abs(r - p["rf"]).alias("dr"), F.abs(z + p["qf"] + p["rf"]).alias("dz"))
 
     def named(c: Column) -> Column:
         q_off = (c["dq"] > c["dr"]) & (c["dq"] > c["dz"])

@@ -53,9 +53,11 @@ def session_rollup(with_sessions: DataFrame) -> DataFrame:
 
 
 def session_stats(rollup: DataFrame) -> DataFrame:
+    """Per player; the mean duration is a sum of whole microseconds, so it doesn't depend on the order of the sessions."""
+    micros = F.sum(F.unix_micros(F.col("last_ts").cast("timestamp")) - F.unix_micros(F.col("first_ts").cast("timestamp")))
     return rollup.groupBy("player_id").agg(
         F.count("*").alias("total_sessions"), F.avg("n_events").alias("mean_events_per_session"), F.median("n_events").alias("median_events_per_session"),
-        stats.population_std(F.col("n_events")).alias("std_events_per_session"), F.avg("minutes").alias("mean_session_duration_minutes"),
+        stats.population_std(F.col("n_events")).alias("std_events_per_session"), (micros / F.lit(6e7) / F.count("*")).alias("mean_session_duration_minutes"),
     )
 
 

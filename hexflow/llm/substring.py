@@ -22,13 +22,14 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from hexflow.llm.scratch import Scratch
 from hexflow.llm.text import Words, ngram_hashes, slices, split_words, within
 
 _LOW = np.uint64((1 << 40) - 1)
 _BUCKET_ROWS = "bucket long, chunk long, payload binary"
+#: Rows of some MB each: row groups are closed after a few of them, or writers and readers would hold a hundred at once.
+_FEW_ROWS = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 4}
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -60,11 +61,31 @@ def _to_chunks(chunk_bytes: int):
     return run
 
 
-def _chunk_rows(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch, int]]:
-    """(chunk, its documents, row) of a batch of the chunk table."""
+def _documents(batch: pa.RecordBatch, i: int) -> pa.RecordBatch:
+    ids, texts = (batch.column(c).slice(i, 1).flatten() for c in ("doc_ids", "texts"))
+    return pa.RecordBatch.from_arrays([ids, texts], ["doc_id", "text"])
+
+
+def _chunk_rows(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(chunk, its documents) of a batch of the chunk table."""
     for i in range(batch.num_rows):
-        ids, texts = (batch.column(c).slice(i, 1).flatten() for c in ("doc_ids", "texts"))
-        yield batch.column("chunk")[i].as_py(), pa.RecordBatch.from_arrays([ids, texts], ["doc_id", "text"]), i
+        yield batch.column("chunk")[i].as_py(), _documents(batch, i)
+
+
+def _with_replies(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, list[list[tuple[int, bytes]]]]]:
+    """(chunk, its documents, the replies of each round) of rows sorted by chunk and round, a chunk's documents first: one chunk is held at a time."""
+    held: tuple[int, pa.RecordBatch, list[list[tuple[int, bytes]]]] | None = None
+    for batch in batches:
+        chunks, rounds, buckets = (batch.column(c).to_pylist() for c in ("chunk", "round", "bucket"))
+        for i, (chunk, r) in enumerate(zip(chunks, rounds, strict=True)):
+            if r == 0:
+                if held:
+                    yield held
+                held = chunk, _documents(batch, i), [[], []]
+            else:
+                held[2][r - 1].append((buckets[i], batch.column("payload")[i].as_py()))
+    if held:
+        yield held
 
 
 def _owners(words: Words) -> np.ndarray:
@@ -82,7 +103,7 @@ def _probes_and_blocks(anchor: int, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, docs, _ in _chunk_rows(batch):
+            for chunk, docs in _chunk_rows(batch):
                 words = split_words(docs.column("text"))
                 g = ngram_hashes(words.hashes(), anchor)
                 at = np.flatnonzero(within(words.starts, anchor))
@@ -194,55 +215,50 @@ def _ids(docs: pa.RecordBatch) -> np.ndarray:
     return pc.fill_null(docs.column("doc_id"), np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
 
 
-def _replies(row: pa.Scalar) -> list[tuple[int, bytes]]:
-    return [(x["bucket"], x["payload"]) for x in (row.as_py() or [])]
-
-
 def _extend(window: int, anchor: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, docs, i in _chunk_rows(batch):
-                replies = _replies(batch.column("hits")[i])
-                words = split_words(docs.column("text"))
-                _, values, checks, owners = _stretches(words, _ids(docs), replies, window, anchor, bits)
-                if not len(values):
-                    continue
-                distinct, checks, _, low = _distinct_stretches(values, checks, owners)
-                lo, hi = _by_bucket(distinct, bits)
-                full = np.flatnonzero(hi > lo)
-                payloads = [_pack(distinct[lo[b] : hi[b]], checks[lo[b] : hi[b]], low[lo[b] : hi[b]]) for b in full]
-                yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(np.full(len(full), chunk)), pa.array(payloads, pa.binary())], ["bucket", "chunk", "payload"])
+        for chunk, docs, (hits, _) in _with_replies(batches):
+            if not hits:
+                continue
+            words = split_words(docs.column("text"))
+            _, values, checks, owners = _stretches(words, _ids(docs), hits, window, anchor, bits)
+            if not len(values):
+                continue
+            distinct, checks, _, low = _distinct_stretches(values, checks, owners)
+            lo, hi = _by_bucket(distinct, bits)
+            full = np.flatnonzero(hi > lo)
+            payloads = [_pack(distinct[lo[b] : hi[b]], checks[lo[b] : hi[b]], low[lo[b] : hi[b]]) for b in full]
+            yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(np.full(len(full), chunk)), pa.array(payloads, pa.binary())], ["bucket", "chunk", "payload"])
 
     return run
 
 
 def _remove(window: int, anchor: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, docs, i in _chunk_rows(batch):
-                words = split_words(docs.column("text"))
-                ids = _ids(docs)
-                cover = np.zeros(len(words.codes) + 1, dtype=np.int64)
-                if found := batch.column("hits")[i].as_py():
-                    at, values, checks, owners = _stretches(words, ids, [(x["bucket"], x["payload"]) for x in found], window, anchor, bits)
-                    *_, inverse, _ = _distinct_stretches(values, checks, owners)
-                    low = np.concatenate([_unpack(p, "i8")[0] for _, p in sorted(_replies(batch.column("lows")[i]))] or [np.empty(0, np.int64)])
-                    gone = at[low[inverse] < owners]
-                    np.add.at(cover, gone, 1)
-                    np.add.at(cover, np.minimum(gone + window, len(cover) - 1), -1)
-                removed = np.cumsum(cover[:-1]) > 0
-                vocab = np.array(words.vocab.to_pylist() or [""], dtype=object)
-                texts, spans, gone_counts = [], [], []
-                for a, b in zip(words.starts[:-1], words.starts[1:], strict=True):
-                    off = removed[a:b]
-                    texts.append(" ".join(vocab[words.codes[a:b][~off]].tolist()))
-                    edge = np.flatnonzero(np.diff(np.concatenate(([0], off.astype(np.int8), [0]))))
-                    spans.append([{"start": int(s), "words": int(e - s)} for s, e in edge.reshape(-1, 2)])
-                    gone_counts.append(int(off.sum()))
-                yield pa.RecordBatch.from_arrays(
-                    [docs.column("doc_id"), pa.array(words.counts), pa.array(gone_counts, pa.int64()), pa.array(texts, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64())])))],
-                    ["doc_id", "n_words", "n_removed", "kept_text", "removed_spans"],
-                )
+        for _, docs, (hits, lows) in _with_replies(batches):
+            words = split_words(docs.column("text"))
+            ids = _ids(docs)
+            cover = np.zeros(len(words.codes) + 1, dtype=np.int64)
+            if hits:
+                at, values, checks, owners = _stretches(words, ids, hits, window, anchor, bits)
+                *_, inverse, _ = _distinct_stretches(values, checks, owners)
+                low = np.concatenate([_unpack(p, "i8")[0] for _, p in sorted(lows)] or [np.empty(0, np.int64)])
+                gone = at[low[inverse] < owners]
+                np.add.at(cover, gone, 1)
+                np.add.at(cover, np.minimum(gone + window, len(cover) - 1), -1)
+            removed = np.cumsum(cover[:-1]) > 0
+            vocab = np.array(words.vocab.to_pylist() or [""], dtype=object)
+            texts, spans, gone_counts = [], [], []
+            for a, b in zip(words.starts[:-1], words.starts[1:], strict=True):
+                off = removed[a:b]
+                texts.append(" ".join(vocab[words.codes[a:b][~off]].tolist()))
+                edge = np.flatnonzero(np.diff(np.concatenate(([0], off.astype(np.int8), [0]))))
+                spans.append([{"start": int(s), "words": int(e - s)} for s, e in edge.reshape(-1, 2)])
+                gone_counts.append(int(off.sum()))
+            yield pa.RecordBatch.from_arrays(
+                [docs.column("doc_id"), pa.array(words.counts), pa.array(gone_counts, pa.int64()), pa.array(texts, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64())])))],
+                ["doc_id", "n_words", "n_removed", "kept_text", "removed_spans"],
+            )
 
     return run
 
@@ -261,17 +277,24 @@ def remove_repeats(docs: DataFrame, window: int = 13, chunk_bytes: int = 2 << 20
     anchor = (window + 1) // 2
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     bits = min(22, max(6, math.ceil(math.log2(max(size, 1) / (4 << 20))))) if size > 1 else 6
-    chunks = scratch.save(docs.select("doc_id", "text").mapInArrow(_to_chunks(chunk_bytes), "chunk long, doc_ids array<long>, texts array<string>"), "chunks")
+    chunks = scratch.save(docs.select("doc_id", "text").mapInArrow(_to_chunks(chunk_bytes), "chunk long, doc_ids array<long>, texts array<string>"), "chunks", options=_FEW_ROWS)
+    # rounds of answers grow with the input, and so do the partitions that they are dealt to: a task's share stays the same
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, size // (8 << 20) + 1 if size < 1 << 50 else 1)
 
     def answered(sent: DataFrame, work, name: str) -> DataFrame:
-        got = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucketwise(work), _BUCKET_ROWS)
-        return scratch.save(got, name).groupBy("chunk").agg(F.collect_list(F.struct("bucket", "payload")).alias(name))
+        return scratch.save(sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_bucketwise(work), _BUCKET_ROWS), name)
+
+    def met(*rounds: DataFrame) -> DataFrame:
+        """Chunks and their replies, each chunk's rows after one another: documents, then the rounds in order."""
+        none = "cast(null as array<long>) as doc_ids", "cast(null as array<string>) as texts"
+        rows = chunks.selectExpr("chunk", "0 as round", "cast(null as long) as bucket", "cast(null as binary) as payload", "doc_ids", "texts")
+        for k, replies in enumerate(rounds, 1):
+            rows = rows.unionAll(replies.selectExpr("chunk", f"{k} as round", "bucket", "payload", *none))
+        return rows.repartition(parts, "chunk").sortWithinPartitions("chunk", "round")
 
     hits = answered(chunks.mapInArrow(_probes_and_blocks(anchor, bits), _BUCKET_ROWS), _hits, "hits")
-    met = chunks.join(hits, "chunk", "left")
-    lows = answered(met.mapInArrow(_extend(window, anchor, bits), _BUCKET_ROWS), _smallest, "lows")
-    done = met.join(lows, "chunk", "left").mapInArrow(
+    lows = answered(met(hits).mapInArrow(_extend(window, anchor, bits), _BUCKET_ROWS), _smallest, "lows")
+    return met(hits, lows).mapInArrow(
         _remove(window, anchor, bits),
         "doc_id long, n_words long, n_removed long, kept_text string, removed_spans array<struct<start:long,words:long>>",
     )
-    return done

@@ -28,3 +28,23 @@ def test_row_groups_close_after_a_few_large_rows(spark):
     Scratch(spark, "groups").save(rows, "rows", options=substring._FEW_ROWS)
     files = sorted(Path(shared_dir(spark).removeprefix("file:")).glob("groups-*/rows/*.parquet"))
     assert max(f.metadata.row_group(k).num_rows for f in map(pq.ParquetFile, files) for k in range(f.metadata.num_row_groups)) <= 16
+
+
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """17,000 labelled rows; the toxic ones use a word of their own, one in each 1,000 rows."""
+    from pyspark.sql import functions as F
+
+    from hexflow.llm import toxicity
+
+    rows = spark.range(24_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some plain words"), F.concat(F.lit("w"), F.floor(F.col("id") / 8)), F.when(F.col("id") % 2 == 0, F.lit("vile"))).alias("text"), (F.col("id") % 2 == 0).cast("int").alias("toxic"))
+    taught = rows.filter(~toxicity.held_out(F.col("doc_id"))).count()
+    assert taught > 16_000
+    s = toxicity.Settings(epochs=1, least_texts=1, shard_rows=3_000)
+    model = toxicity.fit(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"), s)
+    seen = toxicity.held_out(F.col("doc_id")) | (F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(5)) == 0)
+    known = {r.w for r in rows.filter(~seen).select(F.element_at(F.split("text", " "), 4).alias("w")).distinct().collect()}
+    whole = toxicity.word_buckets(sorted(known), s)[:, 0]
+    assert model.embed[whole].any(axis=1).mean() > 0.999
+    out = toxicity.score(rows.select("doc_id", "text", "toxic"), model).groupBy("toxic").agg(F.min("score").alias("lo"), F.max("score").alias("hi")).collect()
+    lo, hi = {r.toxic: r.lo for r in out}[1], {r.toxic: r.hi for r in out}[0]
+    assert lo > 0.9 and hi < 0.1

@@ -2,6 +2,7 @@
 
 from pathlib import Path
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 
 from hexflow.llm import substring
@@ -48,3 +49,61 @@ def test_toxicity_learns_from_every_labelled_row(spark):
     out = toxicity.score(rows.select("doc_id", "text", "toxic"), model).groupBy("toxic").agg(F.min("score").alias("lo"), F.max("score").alias("hi")).collect()
     lo, hi = {r.toxic: r.lo for r in out}[1], {r.toxic: r.hi for r in out}[0]
     assert lo > 0.9 and hi < 0.1
+
+
+def test_epochs_read_shards_where_they_lie(spark, monkeypatch):
+    """Texts were dealt anew for every epoch, and models for every sum; no table stays once the model is there."""
+    from pyspark.sql import functions as F
+
+    from hexflow.llm import toxicity
+
+    plans = {}
+    save = Scratch.save
+
+    def noted(self, df, name, *a, **b):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return save(self, df, name, *a, **b)
+
+    monkeypatch.setattr(Scratch, "save", noted)
+    monkeypatch.setattr(toxicity, "_SLICE", 1 << 10)
+    rows = spark.range(900).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("plain words"), F.when(F.col("id") % 2 == 0, F.lit("vile"))).alias("text"), (F.col("id") % 2 == 0).cast("int").alias("toxic"))
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("toxicity-*"))
+    model = toxicity.fit(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"), toxicity.Settings(epochs=2, shard_rows=100, merged=2))
+    assert toxicity.scores(model, pa.array(["plain words vile", "plain words"])).round().tolist() == [1, 0]
+    sums = [name for name in plans if name.startswith("epoch-")]
+    assert len(sums) > 4 and not any("Exchange" in plans[name] for name in sums)
+    (mine,) = set(folder.glob("toxicity-*")) - before
+    assert not list(mine.rglob("*.parquet"))
+
+
+def test_sums_of_models_are_the_same_in_any_order():
+    import numpy as np
+
+    from hexflow.llm import toxicity
+
+    rng = np.random.default_rng(0)
+    states = [toxicity._weighted({"embed": rng.normal(0, 1, (64, 4)), "out": rng.normal(0, 1, 9)}, rng.integers(0, 5, 64), n) for n in (3, 700, 16_000, 1)]
+    rows = [toxicity._reply(x) for x in states]
+    one, other = (toxicity._averaged(toxicity._terms(next(toxicity._summed(iter(x)))["terms"][0].as_py())) for x in (rows, rows[::-1]))
+    assert all((one[k] == other[k]).all() for k in one)
+    n = np.array([3, 700, 16_000, 1])
+    assert np.allclose(one["out"], sum(x["out"] * toxicity._UNIT for x in states) / n.sum(), atol=1e-6)
+
+
+def test_shards_and_scores_do_not_depend_on_slices(monkeypatch):
+    import numpy as np
+
+    from hexflow.llm import toxicity
+
+    texts = pa.array([" ".join(words(k % 40, k)) for k in range(60)] + [None, ""], pa.string())
+    s = toxicity.Settings(buckets=500, dim=4, filters=3)
+    rng = np.random.default_rng(1)
+    model = toxicity.Model(s, rng.normal(0, 0.5, (500, 4)), [rng.normal(0, 0.5, (w, 4, 3)) for w in s.widths], [rng.normal(0, 0.2, 3) for _ in s.widths], rng.normal(0, 0.5, 9), 0.1)
+    whole, raw = toxicity._packed(texts, np.zeros(62, np.float32), s), toxicity.raw_scores(model, texts)
+    monkeypatch.setattr(toxicity, "_SLICE", 300)
+    monkeypatch.setattr(toxicity, "_HELD", 25)
+    parts = toxicity._packed(texts, np.zeros(62, np.float32), s)
+    assert len(parts["by_word"]) > len(whole["by_word"]) and (parts["texts_of"] == whole["texts_of"]).all() and (parts["starts"] == whole["starts"]).all()
+    assert (parts["by_word"][parts["codes"]] == whole["by_word"][whole["codes"]]).all()
+    assert np.allclose(toxicity.raw_scores(model, texts), raw, atol=1e-12)

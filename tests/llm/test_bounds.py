@@ -100,10 +100,11 @@ def test_shards_and_scores_do_not_depend_on_slices(monkeypatch):
     s = toxicity.Settings(buckets=500, dim=4, filters=3)
     rng = np.random.default_rng(1)
     model = toxicity.Model(s, rng.normal(0, 0.5, (500, 4)), [rng.normal(0, 0.5, (w, 4, 3)) for w in s.widths], [rng.normal(0, 0.2, 3) for _ in s.widths], rng.normal(0, 0.5, 9), 0.1)
-    whole, raw = toxicity._packed(texts, np.zeros(62, np.float32), s), toxicity.raw_scores(model, texts)
+    rows = pa.record_batch([texts, pa.array([0, 1] * 31, pa.int32())], ["text", "toxic"])
+    whole, raw = toxicity._packed([rows], s), toxicity.raw_scores(model, texts)
     monkeypatch.setattr(toxicity, "_SLICE", 300)
     monkeypatch.setattr(toxicity, "_HELD", 25)
-    parts = toxicity._packed(texts, np.zeros(62, np.float32), s)
-    assert len(parts["by_word"]) > len(whole["by_word"]) and (parts["texts_of"] == whole["texts_of"]).all() and (parts["starts"] == whole["starts"]).all()
+    parts = toxicity._packed([rows.slice(0, 7), rows.slice(7)], s)
+    assert len(parts["by_word"]) > len(whole["by_word"]) and (parts["texts_of"] == whole["texts_of"]).all() and (parts["starts"] == whole["starts"]).all() and parts["labels"].tolist() == [0, 1] * 31
     assert (parts["by_word"][parts["codes"]] == whole["by_word"][whole["codes"]]).all()
     assert np.allclose(toxicity.raw_scores(model, texts), raw, atol=1e-12)

@@ -108,3 +108,11 @@ def test_shards_and_scores_do_not_depend_on_slices(monkeypatch):
     assert len(parts["by_word"]) > len(whole["by_word"]) and (parts["texts_of"] == whole["texts_of"]).all() and (parts["starts"] == whole["starts"]).all() and parts["labels"].tolist() == [0, 1] * 31
     assert (parts["by_word"][parts["codes"]] == whole["by_word"][whole["codes"]]).all()
     assert np.allclose(toxicity.raw_scores(model, texts), raw, atol=1e-12)
+
+
+def test_scratch_files_lie_alone(spark):
+    """A checksum file beside each costs a process more on a local disk."""
+    scratch = Scratch(spark, "alone")
+    assert scratch.save(spark.range(10, numPartitions=2), "rows").count() == 10
+    folder = Path(scratch.path("rows").removeprefix("file:"))
+    assert list(folder.glob("*.parquet")) and not list(folder.glob(".*.crc"))

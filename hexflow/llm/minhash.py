@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hexflow.llm.components import components
-from hexflow.llm.scratch import Scratch
+from hexflow.llm.scratch import Scratch, files_for
 from hexflow.llm.text import mix, ngram_hashes, slices, split_words
 
 
@@ -42,6 +42,9 @@ class MinHash:
         return self.rows * self.bands
 
 
+#: Documents whose rows share a file of a table that is made without their texts.
+_DOCS = 8192
+
 #: For a similarity of 0.8: a pair at the threshold is missed with probability 9.3e-7, estimated too low with 1.3e-11.
 STAGE = MinHash(percent=80, rows=7, bands=59, estimate=0.66)
 
@@ -259,34 +262,38 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     classes are compared with the bucket's smallest, and those that it doesn't link with the smallest
     of them.  Where a bucket's members still lie in several components, those outside the largest
     are compared with all members in blocks: no bucket is capped and none is held whole.
+
+    Tables lie in as many files as their documents need.  Steps that read texts keep all their tasks;
+    the links they find, two numbers each, are then dealt to those files.
     """
     scratch = Scratch(docs.sparkSession, "minhash")
     texts = docs.select("doc_id", "text").filter("doc_id is not null")
     sig = scratch.save(docs.select("doc_id", "text").mapInArrow(_signatures(p), "doc_id long, n_shingles long, fp1 long, fp2 long, sketch binary, bands array<long>"), "signatures")
-    classes = scratch.save(sig.filter("n_shingles > 0").groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep")).filter("rep is not null"), "sets")
-    reps = scratch.save(sig.select("doc_id", "sketch", "bands").join(classes.select(F.col("rep").alias("doc_id"), "n_shingles"), "doc_id"), "classes")
+    files = files_for(sig.count(), _DOCS)
+    classes = scratch.save(sig.filter("n_shingles > 0").groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep")).filter("rep is not null"), "sets", files=files)
+    reps = scratch.save(sig.select("doc_id", "sketch", "bands").join(classes.select(F.col("rep").alias("doc_id"), "n_shingles"), "doc_id"), "classes", files=files)
 
     pool = reps.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
     buckets = pool.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.count("*").alias("members")).filter("members > 1")
-    members = scratch.save(pool.join(buckets, "bucket"), "members")
-    first = scratch.save(_star(members.filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")), reps, texts, p), "links-1")
+    members = scratch.save(pool.join(buckets, "bucket"), "members", files=files)
+    first = scratch.save(_star(members.filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")), reps, texts, p).repartition(files), "links-1")
 
     unlinked = members.filter("members > 2 and doc_id <> head").join(first.select(F.col("a").alias("head"), F.col("b").alias("doc_id")), ["head", "doc_id"], "left_anti").select("bucket", "doc_id")
-    unlinked = scratch.save(unlinked, "unlinked")
+    unlinked = scratch.save(unlinked, "unlinked", files=files)
     heads = unlinked.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
     second = unlinked.join(heads, "bucket").filter("doc_id <> a").select("a", F.col("doc_id").alias("b"))
-    links = scratch.save(first.union(_star(second, reps, texts, p)), "links-2")
+    links = scratch.save(first.union(_star(second, reps, texts, p)).repartition(files), "links-2")
 
     cells = _cells(members, components(scratch, links, "star"), p).join(reps.select("doc_id", "sketch", "bands"), "doc_id").join(texts, "doc_id")
     more = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_block_links(p), "a long, b long")
-    all_links = scratch.save(links.union(more), "links")
+    all_links = scratch.save(links.union(more).repartition(files), "links")
     scratch.drop("members", "unlinked", "links-1", "links-2")
     of = components(scratch, all_links, "all")
 
     # A table of its own, so that a class of very many copies is a skewed join that Spark splits.
-    by_class = scratch.save(classes.join(of.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "rep").alias("component_id")), "by-class")
+    by_class = scratch.save(classes.join(of.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "rep").alias("component_id")), "by-class", files=files)
     out = sig.select("doc_id", "n_shingles", "fp1", "fp2").join(by_class, ["fp1", "fp2", "n_shingles"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-    out = scratch.save(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "result")
+    out = scratch.save(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "result", files=files)
     scratch.drop("signatures", "sets", "classes", "links", "by-class")
     return out

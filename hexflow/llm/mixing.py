@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from hexflow.llm.scratch import Scratch
+from hexflow.llm.scratch import Scratch, files_for
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -109,7 +109,8 @@ def _ranked(scratch: Scratch, rows: DataFrame) -> DataFrame:
     placed = scratch.save(placed.withColumn("part", F.shiftright("at", 33)), "placed")
     starts = placed.groupBy("sid", "part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("sid").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = scratch.save(starts.select("sid", "part", (before - F.col("first")).alias("shift")), "starts")
+    starts = starts.select("sid", "part", (before - F.col("first")).alias("shift"))
+    starts = scratch.save(starts.repartition(files_for(placed.count(), 1 << 20)), "starts")
     return placed.join(starts, ["sid", "part"]).withColumn("rank", F.col("at") + F.col("shift")).drop("at", "part", "shift")
 
 

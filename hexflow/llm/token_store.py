@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from hexflow.llm.scratch import Scratch
+from hexflow.llm.scratch import Scratch, files_for
 from hexflow.llm.text import mix, slices, split_words
 from hexflow.session import ship_package
 
@@ -269,7 +269,8 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = 1, chunking:
         ordered.mapInArrow(_recipes, "part int, idx long, doc_id long, n_tokens long, local_start long, digests array<binary>, counts array<long>, root binary"), "recipes"
     )
     scratch.drop("staged")
-    scratch.save(_manifest(recipes), "manifest")
+    # one node for 1,024 documents and one for a part
+    scratch.save(_manifest(recipes).repartition(files_for(recipes.count(), 1 << 20)), "manifest")
     return scratch.base
 
 

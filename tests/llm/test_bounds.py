@@ -119,3 +119,39 @@ def test_scratch_files_lie_alone(spark):
     assert scratch.save(spark.range(10, numPartitions=2), "rows").count() == 10
     folder = Path(scratch.path("rows").removeprefix("file:"))
     assert list(folder.glob("*.parquet")) and not list(folder.glob(".*.crc"))
+
+
+def test_small_tables_are_few_files(spark, monkeypatch):
+    """Every table had as many files as there are shuffle partitions, and each file and task folder starts a process."""
+    from hexflow.llm import components, minhash, mixing, token_store
+    from hexflow.llm.queries import tokenizer_path
+    from tests.llm.test_llm import _brute_minhash
+    from tests.llm.test_near import variants
+
+    files = {}
+    write = Scratch._write
+
+    def noted(self, df, path, *a):
+        write(self, df, path, *a)
+        files[path.rpartition("/")[2]] = len(list(Path(path.removeprefix("file:")).glob("part-*")))
+
+    monkeypatch.setattr(Scratch, "_write", noted)
+    asked = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in asked}
+    rows = [(k, t, "ab"[k % 2]) for k, t in enumerate([t for seed in range(4) for t in variants(seed, 10)] + [" ".join(words(30, 1))] * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    try:
+        for k, v in asked.items():
+            spark.conf.set(k, v)
+        expected = {i: v[1] for i, v in _brute_minhash([r[:2] for r in rows]).items()}
+        assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == expected
+        assert len(files) > 10 and all(n == 1 for name, n in files.items() if name != "signatures")
+        monkeypatch.setattr(components, "_EDGES", 10)
+        monkeypatch.setattr(minhash, "_DOCS", 20)
+        assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == expected
+        assert max(files["star-0"], files["all-0"]) > 1 and files["result"] == 3
+        assert mixing.mix(docs).count() == token_store.token_store(docs, tokenizer_path()).count() == len(rows)
+        assert files["starts"] == files["manifest"] == 1
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
